@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, topk, warc
+from . import bpe, mixing, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,14 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest,
   CASE WHEN n >= 1000 AND page_id <> owner THEN owner END AS refers_to
 FROM d
 """
+
+
+#: The rank file that op8_bpe and the pipeline encode with.
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+@_query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
