@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, topk, warc
+from . import bpe, html_text, media, mixing, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
