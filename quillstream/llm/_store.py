@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +39,9 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
         if "/quillstream/" in f:
             path = spark._jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing holds any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, media, mixing, topk, toxicity, warc
+from . import bpe, html_text, line_dedup, media, mixing, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,8 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.lines_of(_table(spark, sf_dir, "documents"))
