@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, line_dedup, media, mixing, topk, toxicity, warc
+from . import bpe, html_text, jaccard, line_dedup, media, mixing, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.lines_of(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
