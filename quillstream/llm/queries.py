@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, jaccard, line_dedup, media, mixing, topk, toxicity, warc
+from . import bpe, html_text, jaccard, licenses, line_dedup, media, mixing, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,36 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
+
+
+@_query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+_NOTICES = ", ".join("('" + name.replace("'", "''") + "', '" + text.replace("'", "''") + "')" for name, text in sorted(licenses.TEMPLATES.items()))
+_SHINGLES = "list_transform(range(0, greatest(len(w) - 4, 0)::BIGINT), lambda i: array_to_string(w[i + 1:i + 5], ' '))"
+
+ORACLES["op2_licenses"] = rf"""
+WITH texts(license, text) AS (VALUES {_NOTICES}
+), tw AS (
+  SELECT license, list_filter(string_split(lower(regexp_replace(text, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM texts
+), t AS (
+  SELECT license, own, len(own)::BIGINT AS n FROM (SELECT license, list_distinct({_SHINGLES}) AS own FROM tw) x WHERE len(own) > 0
+), ts AS (
+  SELECT license, n, unnest(own) AS s FROM t
+), dw AS (
+  SELECT doc_id, list_filter(string_split(lower(regexp_replace(text, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents
+), ds AS (
+  SELECT doc_id, unnest({_SHINGLES}) AS s, unnest(range(0, greatest(len(w) - 4, 0)::BIGINT)) AS i FROM dw
+), hits AS (
+  SELECT doc_id, license, n, i, ds.s FROM ds JOIN ts USING (s)
+), win AS (
+  SELECT DISTINCT doc_id, license, n, k FROM (SELECT doc_id, license, n, unnest([i // n, i // n - 1]) AS k FROM hits) x WHERE k >= 0
+), c AS (
+  SELECT win.doc_id, win.license, win.k, count(DISTINCT h.s)::DOUBLE / win.n::DOUBLE AS containment, min(h.i) AS first
+  FROM win JOIN hits h ON h.doc_id = win.doc_id AND h.license = win.license AND h.i >= (win.k - 1) * win.n AND h.i < (win.k + 3) * win.n
+  GROUP BY win.doc_id, win.license, win.k, win.n
+)
+SELECT doc_id, license, max(containment) AS containment, min(first)::INTEGER AS first_shingle FROM c WHERE containment >= 0.8 GROUP BY doc_id, license
+"""

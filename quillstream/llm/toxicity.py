@@ -290,7 +290,7 @@ def calibrate(rows: DataFrame, weights: dict[str, float], counts: np.ndarray) ->
             columns = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(c, pa.float64()) for c in columns)], names=["toxic", "e", "h", "n"])
 
-    got = rows.mapInArrow(run, "toxic int, e double, h double, n double").orderBy("toxic", "e", "h", "n").collect()
+    got = sorted(rows.mapInArrow(run, "toxic int, e double, h double, n double").collect())  # in one order, so that sums agree
     toxic, e, h, n = (np.array([float(r[i]) for r in got]) for i in range(4))
     toxic = toxic > 0
     return regress(e, h, n, toxic) if toxic.any() and not toxic.all() else None
