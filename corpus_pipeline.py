@@ -1,14 +1,54 @@
-"""A corpus pipeline of five stages, each calling one operator of quillstream.llm."""
+"""A corpus pipeline of five stages, each calling one operator of quillstream.llm.
+
+Every stage works on all rows that its predecessor kept, is written as Parquet to the shared folder and
+read again. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quillstream.llm import bpe, jaccard, line_dedup, mixing, toxicity
+from quillstream.llm._store import kept, release
+from quillstream.llm.queries import RANKS
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; labels of the same data set teach the score."""
+    return toxicity.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier line repeats; those with nothing left go."""
+    return line_dedup.deduplicated(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return jaccard.one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number of tokens and digests of the ids and of the decoded bytes of every row."""
+    import public_tokenizers
+
+    return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("n-gram Jaccard join", drop_near_copies), ("mixing", mix), ("byte-level BPE", encode)]
 
-#: SQL can't express the stages; tests hold them against brute-force versions.
+#: SQL can't express the stages (Viterbi, chosen paths, BPE); tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = kept(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        release(spark)
+    return docs
