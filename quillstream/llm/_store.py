@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,5 +44,7 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing holds any more; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round frees what the second can then see as unheld
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)

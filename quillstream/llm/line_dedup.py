@@ -18,6 +18,8 @@ table gives no rows; further columns are passed on by deduplicated().
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,46 +81,55 @@ def within(a: Column, b: Column, tau: int = TAU) -> Column:
     and falls by one; the top bit is the lowest diagonal. d0, hp and hn follow from these and
     from the places of b's character in the band by a few whole-number operations.
     """
+    both = F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"))
+    # Bound to a name, lest the characters be split again for each step.
+    return _let(both, lambda v: (F.abs(F.size(v["x"]) - F.size(v["y"])) <= tau) & (_banded(v["x"], v["y"], tau) <= tau))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
+
+
+def _banded(x: Column, y: Column, tau: int) -> Column:
+    """Edit distance of two arrays of characters, right up to tau."""
     band = 2 * tau + 1
-    mask, top = (1 << band) - 1, band - 1
-    x, y = F.split(a, ""), F.split(b, "")
-    n, m = F.length(a), F.length(b)
-    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    mask, top = _long((1 << band) - 1), band - 1
     bit = lambda v, k: F.shiftright(v, k).bitwiseAND(F.lit(1))
-    start = F.struct(F.lit(mask & ~((1 << tau) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(tau).cast("long").alias("d"))
+    n = F.size(x)
+    start = F.struct(_long(((1 << band) - 1) & ~((1 << tau) - 1)).alias("vp"), _long(0).alias("vn"), _long(tau).alias("d"))
 
     def step(s: Column, j: Column) -> Column:
-        c = F.get(y, j)
+        vp, vn = s["vp"], s["vn"]
         same = None
         for k in range(band):  # bit k is row j + k - tau
-            own = F.when(F.get(x, j + (k - tau)) == c, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+            own = F.when(F.get(x, j + (k - tau)) == F.get(y, j), _long(1 << k)).otherwise(_long(0))
             same = own if same is None else same + own
-        vp, vn = s["vp"], s["vn"]
-
-        def finish(d0: Column) -> Column:
-            down = F.shiftright(d0, 1)
-            hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(F.lit(mask).cast("long"))
-            hn = d0.bitwiseAND(vp)
-
-            def with_hp(hp: Column) -> Column:
-                at = (F.lit(top - 1) - (j - (n - tau))).cast("int")
-                along = F.when(j < n - tau, 1 - bit(d0, top)).otherwise(F.when(at >= 0, _bit(hp, at) - _bit(hn, at)).otherwise(F.lit(0).cast("long")))
-                return F.struct(
-                    hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(F.lit(mask).cast("long"))).alias("vp"),
-                    down.bitwiseAND(hp).alias("vn"),
-                    (s["d"] + along).cast("long").alias("d"),
-                )
-
-            return let(hp, with_hp)
 
         def with_same(same: Column) -> Column:
-            sum_ = (same.bitwiseAND(vp) + vp).bitwiseAND(F.lit(mask).cast("long"))
-            return let(sum_.bitwiseXOR(vp).bitwiseOR(same).bitwiseOR(vn), finish)
-
-        return let(same, with_same)
-
-    found = F.aggregate(F.sequence(F.lit(0), m - 1), start, step)
-    return (F.abs(n - m) <= tau) & (found["d"] <= tau)
+            d0 = ((same.bitwiseAND(vp) + vp).bitwiseAND(mask)).bitwiseXOR(vp).bitwiseOR(same).bitwiseOR(vn)
+            return _let(d0, with_d0)
+
+        def with_d0(d0: Column) -> Column:
+            hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(mask)
+            return _let(hp, lambda hp: finish(d0, hp))
+
+        def finish(d0: Column, hp: Column) -> Column:
+            down, hn = F.shiftright(d0, 1), d0.bitwiseAND(vp)
+            at = (F.lit(top - 1) - (j - (n - tau))).cast("int")
+            along = F.when(j < n - tau, 1 - bit(d0, top)).otherwise(F.when(at >= 0, _bit(hp, at) - _bit(hn, at)).otherwise(_long(0)))
+            return F.struct(
+                hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(mask)).alias("vp"),
+                down.bitwiseAND(hp).alias("vn"),
+                (s["d"] + along).cast("long").alias("d"),
+            )
+
+        return _let(same, with_same)
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(y) - 1), start, step)["d"]
 
 
 def _bit(v: Column, k: Column) -> Column:
