@@ -1 +1 @@
-"""Part of quillstream."""
+"""Relational plans over the job log: registry, cache, limits and progress."""
