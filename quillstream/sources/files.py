@@ -46,7 +46,10 @@ def read_sidecar(text: Column) -> Column:
 
 
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
-    """name, value of KEY=VALUE lines; blanks and comments pass, quotes go, the first line of a name counts."""
+    """name, value of KEY=VALUE lines; blanks and comments pass, quotes go, the first line of a name counts.
+
+    Spark passes over files whose names begin with a dot, so such a file needs another name.
+    """
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
     rows = rows.withColumn("line", F.trim("line")).where(~F.col("line").startswith("#") & F.contains("line", F.lit("=")))
     rows = rows.select("n", F.trim(F.substring_index("line", "=", 1)).alias("name"), F.trim(F.regexp_replace("line", "^[^=]*=", "")).alias("value"))
