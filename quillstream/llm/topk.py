@@ -138,9 +138,11 @@ def _phase3(queries: dict[int, tuple[np.ndarray, np.ndarray]], cutoffs: dict[int
                     score = sum(p[i, j] for p in partial)
                     keep = score >= cut[a + j]
                     i, j, score = i[keep], j[keep], score[keep]
+                    if not len(j):
+                        continue
                     order = np.argsort(j, kind="stable")
                     i, j, score = i[order], j[order], score[order]
-                    starts = np.flatnonzero(np.r_[True, j[1:] != j[:-1]]) if len(j) else []
+                    starts = np.flatnonzero(np.r_[True, j[1:] != j[:-1]])
                     for s, e in zip(starts, [*starts[1:], len(j)], strict=True):
                         at = s + _first(score[s:e], ids[i[s:e]], k)
                         out.append((np.full(len(at), own_ids[a + j[s]]), ids[i[at]], score[at]))
