@@ -7,7 +7,10 @@ the join sees each distinct line once:
 - a line of length n is split into TAU + 1 even segments; two lines within TAU edits share one;
 - a line probes the segments of lines of its length and up to TAU less, with the substrings at the
   few places where such a segment can stand (the multi-match-aware selection: 12 for TAU = 2);
-- pairs that meet are verified by a banded bit-parallel edit distance: one pass over the line,
+- lines also carry counts of a few common letters; two edits change these by four in all, which
+  settles most pairs of lines that share a long segment but differ in words;
+- of five pieces of a line, three must stand in the other within TAU places;
+- pairs that are left are verified by a banded bit-parallel edit distance: one pass over the line,
   with a band of 2 * TAU + 1 bits in a whole number.
 
 Defined results: a null text stays null and has no lines; an empty text has one empty line; rows
@@ -74,6 +77,42 @@ def probe_keys(line: Column) -> Column:
     return F.array(*out)
 
 
+#: Letters that are counted, each modulo 128.
+COUNTED = ("e", "n", "t", "a", "o", "s", "r", "i", "h")
+BITS = 7
+
+
+def letter_counts(line: Column) -> Column:
+    """Counts of the letters, seven bits each."""
+    out = None
+    for i, c in enumerate(COUNTED):
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        bits = F.shiftleft(n.bitwiseAND(F.lit((1 << BITS) - 1)).cast("long"), BITS * i)
+        out = bits if out is None else out.bitwiseOR(bits)
+    return out
+
+
+def counts_agree(a: Column, b: Column, tau: int = TAU) -> Column:
+    """Whether two lines' counts allow tau edits: an edit changes two counts by one at most, and what wraps round only seems nearer."""
+    total = None
+    for i in range(len(COUNTED)):
+        d = (F.shiftright(a, BITS * i) - F.shiftright(b, BITS * i)).bitwiseAND(F.lit((1 << BITS) - 1))
+        d = F.least(d, (1 << BITS) - d)
+        total = d if total is None else total + d
+    return total <= 2 * tau
+
+
+def pieces_agree(a: Column, b: Column, tau: int = TAU) -> Column:
+    """Whether so many of five pieces of a stand in b, each within tau places of where they stood, as tau edits leave."""
+    n, found = F.floor(F.length(a) / 5).cast("int"), None
+    for i in range(5):
+        start = n * i + 1
+        low = F.greatest(F.lit(1), start - tau)
+        own = F.contains(F.substring(b, low, start + n + tau - low), F.substring(a, start, n)).cast("int")
+        found = own if found is None else found + own
+    return found >= 5 - tau
+
+
 def within(a: Column, b: Column, tau: int = TAU) -> Column:
     """Whether two strings of at least 2 * tau characters are within tau edits.
 
@@ -142,19 +181,20 @@ def _by_size(ids: DataFrame) -> DataFrame:
 
 def near_lines(lines: DataFrame) -> DataFrame:
     """id of the distinct lines (id, first, line) that are within TAU edits of an earlier other one."""
-    keyed = lines.select(F.xxhash64("line").alias("x"), "line")
-    own = keyed.select("x", F.explode(index_keys(F.col("line"))).alias("key"))
-    probe = keyed.select(F.col("x").alias("y"), F.inline(probe_keys(F.col("line"))))
-    met = probe.join(own, "key").where((F.col("x") != F.col("y")) & (~F.col("even") | (F.col("x") < F.col("y"))))
+    keyed = lines.select(F.xxhash64("line").alias("x"), "c", "line")
+    own = keyed.select("x", "c", F.explode(index_keys(F.col("line"))).alias("key"))
+    probe = keyed.select(F.col("x").alias("y"), F.col("c").alias("d"), F.inline(probe_keys(F.col("line"))))
+    apart = (F.col("x") != F.col("y")) & (~F.col("even") | (F.col("x") < F.col("y")))
+    met = probe.join(own, "key").where(apart & counts_agree(F.col("c"), F.col("d")))
     pairs = kept(met.select("x", "y").distinct(), "lines-pairs")
     release(lines.sparkSession)
     ids = kept(pairs.select(F.explode(F.array("x", "y")).alias("x")).distinct(), "lines-ids")
     texts = lines.withColumn("x", F.xxhash64("line")).join(_by_size(ids), "x")
     texts = kept(texts.select("x", "id", "first", "line"), "lines-texts")
     a = texts.select("x", F.col("first").alias("first_a"), F.col("line").alias("a"))
-    b = texts.select(F.col("x").alias("y"), F.col("first").alias("first_b"), F.col("line").alias("b"), F.col("id").alias("id_b"), )
+    b = texts.select(F.col("x").alias("y"), F.col("first").alias("first_b"), F.col("line").alias("b"), F.col("id").alias("id_b"))
     a = a.join(texts.select("x", F.col("id").alias("id_a"), F.col("first").alias("first_a")), ["x", "first_a"])
-    found = pairs.join(a, "x").join(b, "y").where(within(F.col("a"), F.col("b")))
+    found = pairs.join(a, "x").join(b, "y").where(F.when(pieces_agree(F.col("a"), F.col("b")), within(F.col("a"), F.col("b"))))
     return found.select(F.when(F.col("first_a") < F.col("first_b"), F.col("id_b")).otherwise(F.col("id_a")).alias("id")).distinct()
 
 
@@ -163,7 +203,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = _lines(docs).withColumn("id", _id(F.col("line")))
     lines = rows.groupBy("id").agg(F.min(F.struct("doc_id", "_h", "line_no")).alias("first"), F.count("*").alias("n"), F.any_value("line").alias("line"))
-    lines = kept(lines, "lines-distinct")
+    lines = kept(lines.withColumn("c", letter_counts(F.col("line"))), "lines-distinct", compression="zstd")
     release(spark)
     near = kept(near_lines(lines), "lines-near")
     release(spark)
