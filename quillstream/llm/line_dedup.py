@@ -188,7 +188,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
     met = probe.join(own, "key").where(apart & counts_agree(F.col("c"), F.col("d")))
     pairs = kept(met.select("x", "y").distinct(), "lines-pairs")
     release(lines.sparkSession)
-    ids = kept(pairs.select(F.explode(F.array("x", "y")).alias("x")).distinct(), "lines-ids")
+    ids = kept(pairs.select("x").distinct().union(pairs.select("y").distinct()).distinct(), "lines-ids")
     texts = lines.withColumn("x", F.xxhash64("line")).join(_by_size(ids), "x")
     texts = kept(texts.select("x", "id", "first", "line"), "lines-texts")
     a = texts.select("x", F.col("first").alias("first_a"), F.col("line").alias("a"))
