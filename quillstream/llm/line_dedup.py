@@ -1,8 +1,9 @@
 """Line de-duplication by a segment-partition edit join (op3), with DataFrame functions only.
 
-A line of LEAST characters or more, trimmed, is dropped if an earlier line (by doc_id, then line
-number) is the same or within TAU edits of it; shorter lines stay. Equal lines are grouped first, so
-the join sees each distinct line once:
+A line, trimmed and not empty, is dropped if an earlier line (by doc_id, then line number) is the same, or
+if both have LEAST characters or more and are within TAU edits. Of fewer than LEAST = 2 * TAU + 1
+characters, TAU edits may change half or more, so such lines go as exact repeats only. Equal lines of any
+length are grouped first, so the join sees each distinct line once:
 
 - a line of length n is split into TAU + 1 even segments; two lines within TAU edits share one;
 - a line probes the segments of lines of its length and up to TAU less, with the substrings at the
@@ -29,17 +30,18 @@ from pyspark.sql import functions as F
 from ._store import kept, release
 
 TAU = 2
-LEAST = 20
+#: Characters from which lines are compared by edits, not for equality only.
+LEAST = 2 * TAU + 1
 BAND = 2 * TAU + 1
 #: Up to this many ids are broadcast (16 bytes each).
 BROADCAST_IDS = 100_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, _h (of the text), line_no, line of all lines that are long enough."""
+    """doc_id, _h (of the text), line_no, line of all lines that are not empty."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r\f\x0b")))
-    return rows.where(F.length("line") >= LEAST)
+    return rows.where(F.length("line") > 0)
 
 
 def _id(line: Column) -> Column:
@@ -180,7 +182,8 @@ def _by_size(ids: DataFrame) -> DataFrame:
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
-    """id of the distinct lines (id, first, line) that are within TAU edits of an earlier other one."""
+    """id of the distinct lines (id, first, line) of LEAST characters or more that are within TAU edits of an earlier other one."""
+    lines = lines.where(F.length("line") >= LEAST)
     keyed = lines.select(F.xxhash64("line").alias("x"), "c", "line")
     own = keyed.select("x", "c", F.explode(index_keys(F.col("line"))).alias("key"))
     probe = keyed.select(F.col("x").alias("y"), F.col("c").alias("d"), F.inline(probe_keys(F.col("line"))))

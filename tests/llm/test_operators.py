@@ -129,6 +129,27 @@ def test_line_dedup_filters_lose_nothing(spark):
         assert r.w == r.near and (not r.near or (r.p and r.c))
 
 
+def test_line_dedup_short_lines(spark):
+    rng = random.Random(9)
+    rows = [(d, "\n".join("".join(rng.choice("abé ") for _ in range(rng.randint(0, 12))) for _ in range(12)), "a") for d in range(60)]
+    rows += [(100, "Les Rech.\nLes Rech.\n Les Rech.\t\nok\n\n\nok", "a")]
+    first, at, want = {}, {}, {}
+    for d, t, _ in rows:
+        for i, line in enumerate(x.strip("\t ") for x in t.split("\n")):
+            first.setdefault(line, (d, i))
+    for d, t, _ in rows:
+        left = []
+        for i, x in enumerate(t.split("\n")):
+            line = x.strip("\t ")
+            if line not in at:
+                at[line] = len(line) >= 5 and any(len(b) >= 5 and first[b] < first[line] and abs(len(b) - len(line)) <= 2 and _edits(line, b) <= 2 for b in first)
+            if not line or (first[line] == (d, i) and not at[line]):
+                left.append(x)
+        want[d] = "\n".join(left)
+    got = {r.doc_id: r.text for r in line_dedup.lines_of(docs_of(spark, rows)).collect()}
+    assert got == want and got[100].count("Les Rech.") == 1 and got[100].count("ok") == 1 and any(at.values())
+
+
 def test_line_dedup_edges(spark, odd):
     got = {(r.doc_id, r.text) for r in line_dedup.lines_of(odd).collect()}
     assert (1, None) in got and (2, "") in got and len(got) == 6
