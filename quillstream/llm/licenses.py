@@ -1,6 +1,7 @@
 """License scans (op2), with DataFrame functions only.
 
-Words are runs of letters and digits in lower case; shingles are five words, hashed. A template of n shingles
+Words are runs of letters and digits in lower case; shingles are five words, hashed. A template of fewer words
+is one run of its own length and is found where these words stand in a row. A template of n shingles
 is looked for in windows of 2n shingles that start every n, so one of them holds every occurrence
 whole. MinHash bands of one row retrieve the templates that a window may hold: an occurrence of the template makes
 half of its window's shingles or more, so BANDS bands miss it with a probability of 2^-BANDS (an
@@ -9,7 +10,8 @@ template's shingles in the window and its neighbourhood (n before and after) is
 
 A window can only agree with a template in a band if they share a shingle, so texts and windows that
 hold no shingle of any template are passed over first; that loses nothing. Templates are
-constants of the program, so their tables are small literals; texts are read once and never shuffled.
+constants of the program, so their tables are small literals; texts are read once, and again for the
+short ones, and never shuffled.
 
 Defined results: a null or empty text matches nothing; rows that repeat a doc_id are reported together; a
 license is reported once a document with its best containment and first place; an empty table gives no rows;
@@ -18,6 +20,9 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +46,10 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means.",
 }
 
+#: Notices of fewer than WORDS words.
+SHORT = {"all-rights-reserved-line": "All rights reserved."}
+NOTICES = TEMPLATES | SHORT
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
@@ -68,17 +77,49 @@ def _numbered(n: int):
     return lambda k: F.struct(F.lit(n).alias("n"), k.alias("k"))
 
 
-def template_rows(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """license, own (distinct shingles), n, bands of each template."""
+def template_rows(spark: SparkSession, templates: dict[str, str] = NOTICES) -> DataFrame:
+    """license, own (distinct shingles), n, bands of each template of five words or more."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string")
     rows = rows.select("license", F.array_distinct(shingles(words(F.col("text")))).alias("own"))
     return rows.withColumns({"n": F.size("own"), "bands": _minhashes(F.col("own"))}).where(F.col("n") > 0)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc_id, license, containment (0.8 to 1), first_shingle of every license found."""
+def _runs(docs: DataFrame, short: dict[str, list[str]]) -> DataFrame:
+    """doc_id, license, containment (1), first place where all words of a short template stand in a row."""
+
+    def at(w: Column, run: list[str]) -> Column:
+        start = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: _all([F.get(w, i + j).eqNullSafe(F.lit(x)) for j, x in enumerate(run)]))
+        return F.get(start, F.lit(0))
+
+    def found(w: Column) -> Column:
+        return F.array(*(F.struct(F.lit(name).alias("license"), at(w, run).alias("first")) for name, run in short.items()))
+
+    # Bound to a name, lest the text be split again for each word; texts without a run's words are passed over before.
+    held = _any([_all([F.contains(F.lower("text"), F.lit(x)) for x in run]) for run in short.values()])
+    rows = docs.where(held).select("doc_id", F.inline(F.get(F.transform(F.array(words(F.col("text"))), found), F.lit(0))))
+    return rows.where(F.col("first").isNotNull()).select("doc_id", "license", F.lit(1.0).alias("containment"), "first")
+
+
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def _short(templates: dict[str, str]) -> dict[str, list[str]]:
+    """Words of the templates that have some, but fewer than five."""
+    split = {name: [w for w in re.split(r"[\W_]+", text.lower()) if w] for name, text in templates.items()}
+    return {name: w for name, w in split.items() if 0 < len(w) < WORDS}
+
+
+def _long(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """doc_id, license, containment, first of the matches of templates of five words or more."""
     spark = docs.sparkSession
     table = template_rows(spark, templates).collect()  # constants: a row a template
+    if not table:
+        return docs.select("doc_id", F.lit("").alias("license"), F.lit(1.0).alias("containment"), F.lit(0).alias("first")).where(F.lit(False))
     sizes = sorted({r.n for r in table})
     known = sorted({x for r in table for x in r.own})
     hit = lambda x: x.isin(known)
@@ -97,6 +138,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     found = rows.join(F.broadcast(banded), ["n", "band", "value"])  # templates * BANDS constants
     share = F.size(F.array_intersect("part", "own")) / F.col("n")
     first = F.col("low") + F.array_min(F.filter(F.transform("part", lambda x, i: F.when(F.array_contains("own", x), i)), lambda i: i.isNotNull()))
-    found = found.select("doc_id", "license", share.alias("containment"), first.alias("first")).where(F.col("containment") >= AT_LEAST)
+    return found.select("doc_id", "license", share.alias("containment"), first.alias("first")).where(F.col("containment") >= AT_LEAST)
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = NOTICES) -> DataFrame:
+    """doc_id, license, containment (0.8 to 1), first_shingle of every license found."""
+    long, short = _long(docs, templates), _short(templates)
+    found = long.unionByName(_runs(docs, short)) if short else long
     best = found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first").alias("first_shingle"))
     return best.select("doc_id", "license", "containment", F.col("first_shingle").cast("int").alias("first_shingle"))

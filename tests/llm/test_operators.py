@@ -78,6 +78,14 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_of_few_words(spark):
+    texts = ["x y. All rights\nRESERVED.", "all rights were reserved", "All rights all rights reserved!", "overall rights reserved", "All rights", "", None, "All-rights_reserved " + licenses.TEMPLATES["MIT-line"]]
+    docs = docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    got = {(r.doc_id, r.license): (r.containment, r.first_shingle) for r in licenses.scan(docs).collect()}
+    assert got == {(0, "all-rights-reserved-line"): (1.0, 2), (2, "all-rights-reserved-line"): (1.0, 2), (7, "all-rights-reserved-line"): (1.0, 0), (7, "MIT-line"): (1.0, 3)}
+    assert {(r.doc_id, r.license) for r in licenses.scan(docs, {"two": "Rights reserved"}).collect()} == {(0, "two"), (2, "two"), (3, "two"), (7, "two")}
+
+
 # op3
 def _edits(a, b):
     row = list(range(len(b) + 1))
