@@ -6,8 +6,10 @@ index. Reading parses the RIFF chunks and the index, the JPEG segments of each f
 and decodes the entropy-coded samples. All frames of a chunk of rows are encoded or decoded in
 step: sample 1 of every frame, then sample 2, so the work is on numpy vectors.
 
-A shot ends where the histogram of a frame differs from the frame before by more than both a
-floor and, in the window around it, the mean difference plus three deviations.
+A shot ends where the histogram of a frame differs from the frame before by a floor or more and by more
+than the median of the other differences in the window around it plus three deviations, taken
+from their median deviation, so that neither the tested difference nor another cut nearby hides it. With
+fewer than FEW others, at which two more cuts could be half of them, the floor decides alone.
 
 Defined results: a null text is an empty payload; a payload is filled with spaces to a positive multiple
 of 192 bytes, so an empty text is one frame; equal texts have equal files and features; an empty
@@ -30,6 +32,8 @@ FRAME = WIDTH * HEIGHT
 CHUNK = 4 << 20
 #: Histogram bins; frames on each side of the adaptive window; least difference of a cut, in samples.
 BINS, REACH, FLOOR = 16, 8, FRAME // 4
+#: Other differences in a window from which they are asked.
+FEW = 5
 #: Code lengths of the difference categories 0 to 8: text mostly differs by 4 to 127.
 CODE_LENGTHS = {3: 3, 4: 3, 5: 3, 6: 3, 7: 3, 0: 4, 1: 4, 2: 4, 8: 4}
 
@@ -250,13 +254,25 @@ def differences(samples: np.ndarray) -> np.ndarray:
 def cuts(diff: np.ndarray) -> np.ndarray:
     """Frames that start a new shot, from the differences between neighbours; whole numbers only, so that runs agree."""
     n = len(diff)
-    if not n:
-        return np.empty(0, dtype=np.int64)
-    lo, hi = np.maximum(np.arange(n) - REACH, 0), np.minimum(np.arange(n) + REACH + 1, n)
-    sums, squares = (np.concatenate([[0], np.cumsum(v)]) for v in (diff, diff * diff))
-    k, s, q = hi - lo, sums[hi] - sums[lo], squares[hi] - squares[lo]
-    above = diff * k - s
-    return np.flatnonzero((diff >= FLOOR) & (above > 0) & (above * above > 9 * (k * q - s * s))) + 1
+    at = np.flatnonzero(diff >= FLOOR)
+    if not len(at):
+        return at + 1
+    near = at[:, None] + np.array([i for i in range(-REACH, REACH + 1) if i])
+    there = (near >= 0) & (near < n)
+    others = diff[np.clip(near, 0, n - 1)].astype(np.int64)
+    k = there.sum(axis=1)
+    middle = _twice_median(others, there, k)
+    spread = _twice_median(np.abs(2 * others - middle[:, None]), there, k)  # four times the median deviation
+    # 1.4826 median deviations stand for a standard deviation.
+    return at[(k < FEW) | (10_000 * (4 * diff[at].astype(np.int64) - 2 * middle) > 3 * 14_826 * spread)] + 1
+
+
+def _twice_median(x: np.ndarray, there: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Twice the median of each row's k values that are there (0 for none)."""
+    x = np.sort(np.where(there, x, np.iinfo(np.int64).max), axis=1)
+    row, low = np.arange(len(x)), np.maximum(k - 1, 0) // 2
+    both = np.stack([x[row, low], x[row, np.maximum(k // 2, low)]])
+    return np.where(k > 0, both, 0).sum(axis=0)
 
 
 def _parts(rows: list[bytes]) -> Iterator[slice]:

@@ -332,3 +332,32 @@ def test_media_rows(spark, odd):
     clips = media.clip_rows(media.read_media(media.encode_media(row))).collect()
     assert [(c.first_frame, c.last_frame, c.start_s) for c in clips] == [(0, 29, 0.0), (30, 59, 1.2)]
     assert media.features(empty(spark)).count() == 0
+
+
+def _median(x):
+    x = sorted(x)
+    return (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2
+
+
+def test_media_cuts():
+    cuts = lambda *d: media.cuts(np.array(d, dtype=np.int64)).tolist()
+    full, calm = 192, [3] * 20
+    assert cuts() == [] and cuts(full) == [1] and cuts(full - 150) == []
+    assert cuts(full, full) == [1, 2] and cuts(3, full, 3, 3, 3) == [2]  # short files
+    assert cuts(*calm, full) == [21] and cuts(full, *calm) == [1]  # the edges
+    assert cuts(*calm, full, 3, 3, full, *calm) == [21, 24]  # close cuts
+    assert cuts(*[100, 110, 105, 95] * 10) == []  # steady motion
+    rng = random.Random(8)
+    for _ in range(300):
+        d = [rng.choice([rng.randrange(40), rng.randrange(40), rng.randrange(193)]) for _ in range(rng.randrange(1, 40))]
+        want = []
+        for i, x in enumerate(d):
+            others = d[max(0, i - 8) : i] + d[i + 1 : i + 9]
+            if x >= 48 and (len(others) < 5 or x - (m := _median(others)) > 3 * 1.4826 * _median([abs(o - m) for o in others])):
+                want.append(i + 1)
+        assert cuts(*d) == want
+
+
+def test_media_short_text_has_shots(spark):
+    row = docs_of(spark, [(1, "a" * 192 * 2 + "9" * 192 * 2 + "Q" * 192, "a")])
+    assert ";shots=3;" in media.features(row).first().feature
