@@ -528,20 +528,26 @@ def safe_filenames(spark, d):
 _SLICES = "o AS (SELECT user_id, epoch_us(min(ts)) AS created_at, epoch_us(max(ts)) AS updated_at, max(value) AS value FROM events WHERE event_id % 3 = 0 GROUP BY user_id), w AS (SELECT user_id, epoch_us(min(ts)) AS created_at, epoch_us(max(ts)) AS updated_at, max(value) AS value FROM events WHERE event_id % 3 = 1 AND user_id % 2 = 0 GROUP BY user_id)"
 
 
-def _slice(spark, d, where: str) -> DataFrame:
-    rows = _events(spark, d).where(where).groupBy("user_id")
-    return rows.agg(F.min(_micros("ts")).alias("created_at"), F.max(_micros("ts")).alias("updated_at"), F.max("value").alias("value"))
+def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
+    """user_id, created_at, updated_at, value of all events before the last one's day (or at no known time), and of all events of that day."""
+    rows = _events(spark, d)
+    last = rows.agg(F.date_trunc("day", F.max("ts")).alias("last"))
+    rows = rows.crossJoin(F.broadcast(last))  # one row
+    late = F.coalesce(F.col("ts") >= F.col("last"), F.lit(False))
+    entries = lambda x: x.groupBy("user_id").agg(F.min(_micros("ts")).alias("created_at"), F.max(_micros("ts")).alias("updated_at"), F.max("value").alias("value"))
+    return entries(rows.where(~late)), entries(rows.where(late))
 
 
 @_query(f"WITH {_SLICES} SELECT coalesce(o.user_id, w.user_id) AS user_id, coalesce(o.created_at, w.created_at) AS created_at, coalesce(w.updated_at, o.updated_at) AS updated_at, coalesce(w.value, o.value) AS value FROM o FULL JOIN w ON o.user_id = w.user_id")
 def cache_upsert(spark, d):
-    return registry.upserted(_slice(spark, d, "event_id % 3 = 0"), _slice(spark, d, "event_id % 3 = 1 AND user_id % 2 = 0"), "user_id")
+    return registry.upserted(*_halves(spark, d), "user_id")
 
 
 @_query(f"WITH {_SLICES} SELECT user_id FROM o WHERE user_id NOT IN (SELECT user_id FROM w)")
 def cache_stale(spark, d):
-    old = _slice(spark, d, "event_id % 3 = 0").select("user_id", F.lit("v").alias("format_version"), F.col("user_id").cast("string").alias("cleaned_path"))
-    files = _slice(spark, d, "event_id % 3 = 1 AND user_id % 2 = 0").select(F.col("user_id").cast("string").alias("path"))
+    old, new = _halves(spark, d)
+    old = old.select("user_id", F.lit("v").alias("format_version"), F.col("user_id").cast("string").alias("cleaned_path"))
+    files = new.select(F.col("user_id").cast("string").alias("path"))
     return registry.stale(old, "v", files).select("user_id")
 
 

@@ -99,3 +99,26 @@ def test_sql_functions_and_entry(spark):
     assert spark.sql("SELECT collapse_loops('go go go go')").first()[0] == "go go"
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_cache_queries_read_every_event(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from quillstream import queries
+
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(hours=7 * i), (i * i + i // 5) % 9, float(i % 13)) for i in range(60)] + [(60, start, 20, None), (61, None, 21, 2.0), (62, start + timedelta(hours=7 * 59), 23, 1.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    day = max(r[1] for r in rows if r[1]).replace(hour=0)
+    old, new = {}, {}
+    for _, ts, user, value in rows:
+        (new if ts and ts >= day else old).setdefault(user, []).append((ts, value))
+    want = {}
+    for user in old.keys() | new.keys():
+        both, late = old.get(user, new.get(user)), new.get(user, old.get(user))
+        times = [int((ts - datetime(1970, 1, 1)) / timedelta(microseconds=1)) for ts, _ in both if ts], [int((ts - datetime(1970, 1, 1)) / timedelta(microseconds=1)) for ts, _ in late if ts]
+        want[user] = (min(times[0], default=None), max(times[1], default=None), max((v for _, v in late if v is not None), default=None))
+    got = {r.user_id: (r.created_at, r.updated_at, r.value) for r in queries.QUERIES["cache_upsert"](spark, str(tmp_path)).collect()}
+    assert got == want and set(got) == {r[2] for r in rows}
+    stale = {r.user_id for r in queries.QUERIES["cache_stale"](spark, str(tmp_path)).collect()}
+    assert stale == old.keys() - new.keys() and {20, 21} <= stale and any(u % 2 for u in new)
