@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstream.functions import languages as lg
+from quillstream.operators import layout
 
 PART_SECONDS, MOST_BYTES, SPEECH_LETTERS = 300, 25 * 1024 * 1024, 100
 
@@ -28,6 +29,11 @@ def needs_split(duration: Column, n_bytes: Column, part_seconds: float = PART_SE
     return duration.isNull() | (duration > part_seconds) | (n_bytes > MOST_BYTES)
 
 
+def probed(parts: DataFrame) -> DataFrame:
+    """parts with a column probe: the text without loops, then without stock phrases, so that silence casts no vote."""
+    return parts.withColumn("probe", layout.strip_stock_phrases(layout.collapse_loops(F.col("text"))))
+
+
 def votes(parts: DataFrame, probe: str = "text") -> DataFrame:
     """lecture, part_no, script, code, n_letters of parts (lecture, part_no, text, reported); nulls where too little is said."""
     t = F.col(probe)

@@ -351,12 +351,12 @@ m AS (SELECT top.source AS lecture, top.script, r.code AS language FROM top LEFT
 
 @_query(f"WITH {_VOTES} SELECT * FROM m")
 def lecture_vote(spark, d):
-    return votes.majority(votes.votes(_parts(spark, d)))
+    return votes.majority(votes.votes(votes.probed(_parts(spark, d)), "probe"))
 
 
 @_query(f"WITH {_VOTES} SELECT m.lecture, v.doc_id AS part_no, m.language AS target FROM m JOIN v ON v.source = m.lecture WHERE v.code IS NOT NULL AND v.code <> m.language")
 def parts_to_redo(spark, d):
-    cast = votes.votes(_parts(spark, d))
+    cast = votes.votes(votes.probed(_parts(spark, d)), "probe")
     return votes.to_redo(cast, votes.majority(cast))
 
 

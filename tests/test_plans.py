@@ -122,3 +122,45 @@ def test_cache_queries_read_every_event(spark, tmp_path):
     assert got == want and set(got) == {r[2] for r in rows}
     stale = {r.user_id for r in queries.QUERIES["cache_stale"](spark, str(tmp_path)).collect()}
     assert stale == old.keys() - new.keys() and {20, 21} <= stale and any(u % 2 for u in new)
+
+
+def test_vote_queries_judge_text_without_loops(spark, tmp_path):
+    import random
+    import re
+    from collections import Counter
+
+    from quillstream import queries
+    from quillstream.operators import kernels as k
+
+    rng = random.Random(12)
+    latin, arabic = [[c * 2 + x for c in "bdfglmnprst" for x in ends] for ends in (("ando", "eri", "ulin"), ("\u0627\u0628", "\u062a\u0631"))]
+    arabic = [re.sub("[a-z]", "\u0633", w) + "\u0639" * (i % 3) for i, w in enumerate(arabic)]
+    said = lambda words: " ".join(rng.choice(words) for _ in range(rng.randrange(2, 40)))
+    rows = [("a", 1, "Thank you. " * 300, "fr"), ("a", 2, " ".join(latin), "en"), ("b", 3, None, "en"), ("b", 4, "", None)]
+    for i in range(5, 90):
+        text = said(rng.choice([latin, latin, arabic])) + rng.choice(["", " Thank you." * 80, "\n\n[Music] Thanks for watching."])
+        rows.append((f"l{i % 9}", i, text, rng.choice(["fr", "en", "ar"])))
+    spark.createDataFrame([(d, t, s, c, len(t or "")) for s, d, t, c in rows], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    cast = {}
+    for lecture, part, text, code in rows:
+        probe = k.without_stock_phrases(k.collapsed(text))
+        a, n = len(re.findall("[\u0621-\u064a]", probe)), len(re.findall("[\u0621-\u064aA-Za-z]", probe))
+        if n >= 20:
+            script = "arabic" if a / n >= 0.3 else "latin"
+            known = "ar" if script == "arabic" else code if code != "ar" else None
+            cast.setdefault(lecture, {})[part] = (script, known if n >= 100 else None, n)
+    chosen = {}
+    for lecture, parts in cast.items():
+        weight = Counter()
+        for s, _, n in parts.values():
+            weight[s] += n
+        script = max(weight, key=lambda s: (weight[s], s == "arabic"))
+        codes = Counter()
+        for _, (s, c, n) in sorted(parts.items()):
+            if s == script and c:
+                codes[c] += n
+        chosen[lecture] = (script, max(codes, key=codes.get) if codes else "ar" if script == "arabic" else None)
+    redo = {(x, p, chosen[x][1]) for x, parts in cast.items() for p, (s, c, _) in parts.items() if chosen[x][1] and (s != chosen[x][0] or (c and c != chosen[x][1]))}
+    got = {r.lecture: (r.script, r.language) for r in queries.QUERIES["lecture_vote"](spark, str(tmp_path)).collect()}
+    assert got == chosen and got["a"] == ("latin", "en")
+    assert {tuple(r) for r in queries.QUERIES["parts_to_redo"](spark, str(tmp_path)).collect()} == redo and redo
