@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm import bpe, jaccard, line_dedup, mixing, toxicity
-from quillstream.llm._store import kept, release
+from quillstream.llm._store import kept
 from quillstream.llm.queries import RANKS
 
 
@@ -50,5 +50,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = kept(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
-        release(spark)
     return docs
