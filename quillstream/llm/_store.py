@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where local sessions (tests) keep tables if spark.checkpoint.dir is unset.
 LOCAL_DIR = "/tmp/checkpoints"
+#: Spark's own switch: a query's shuffle files go when the query ends.
+ENDS_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Folders of the tables that kept() wrote and whose frames are still held.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,25 +32,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillstream/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside delete their shuffle files when they end. What they wrote is in the shared folder by then."""
+    before = spark.conf.get(ENDS_SHUFFLES, None)
+    spark.conf.set(ENDS_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(ENDS_SHUFFLES)
+        else:
+            spark.conf.set(ENDS_SHUFFLES, before)
+
+
 def kept(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df, written as Parquet to the shared folder and read again: its lineage ends there, and a lost executor costs one read."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table that kept() wrote and that nothing reads any more."""
-    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/quillstream/" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    with shuffles_end(spark):
+        df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing holds any more; it does so when the driver collects its garbage."""
-    for _ in range(2):  # the first round frees what the second can then see as unheld
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that kept() wrote and that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        if (path := _paths.pop(df, None)) is not None:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)

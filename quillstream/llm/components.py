@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import drop, kept, release
+from ._store import drop, kept
 
 
 def _symmetric(edges: DataFrame) -> DataFrame:
@@ -45,9 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         new = kept(_star(_star(now, large=True), large=False), "links")
         found = _print(new)
-        drop(spark, now)
+        drop(now)
         now = new
-        release(spark)
         if found == seen:
             break
         seen = found

@@ -23,60 +23,74 @@ table gives no rows; further columns are passed on by deduplicated().
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._store import kept, release
+from ._store import drop, kept
 
 TAU = 2
 #: Characters from which lines are compared by edits, not for equality only.
 LEAST = 2 * TAU + 1
 BAND = 2 * TAU + 1
-#: Up to this many ids are broadcast (16 bytes each).
+#: Up to this many names of lines are broadcast (32 bytes each).
 BROADCAST_IDS = 100_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, _h (of the text), line_no, line of all lines that are not empty."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r\f\x0b")))
-    return rows.where(F.length("line") > 0)
+    # Trimming of more than spaces walks the whole line, so only texts that hold other white space pay for it.
+    odd = reduce(lambda a, b: a | b, (F.contains("text", F.lit(c)) for c in "\t\r\f\x0b"))
+    # What is said of a whole text is said below the generator, once a text and not once a line.
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), odd.alias("odd"), F.split("text", "\n", -1).alias("own"))
+    rows = rows.select("doc_id", "_h", "odd", F.posexplode("own").alias("line_no", "line"))
+    rows = rows.withColumn("line", F.when(F.col("odd"), F.btrim("line", F.lit(" \t\r\f\x0b"))).otherwise(F.trim("line")))
+    return rows.where(F.col("line") != "").drop("odd")
 
 
-def _id(line: Column) -> Column:
-    return F.unhex(F.md5(line.cast("binary")))
+def _names(line: Column) -> dict[str, Column]:
+    """Two hashes that name a line; the first also names it in pairs, which are verified."""
+    return {"x": F.xxhash64(line), "z": F.xxhash64(F.lit(1), line)}
 
 
-def _segment(n: Column, i: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 0) of a line of length n: the last n mod (TAU + 1) are longer by one."""
-    base, longer = F.floor(n / (TAU + 1)).cast("int"), TAU + 1 - n % (TAU + 1)
-    extra = F.greatest(F.lit(0), F.lit(i) - longer)
-    return F.lit(1) + base * i + extra, base + (F.lit(i) >= longer).cast("int")
+def _place(kind: T.DataType) -> Column:
+    """Where a line stands (doc_id, _h, line_no), as one value in that order; null ids come first.
+
+    Of whole-number ids it is a decimal of the id, 31 bits of the text's hash and the line number, which
+    has a fixed width, so that Spark aggregates it by hashing and need not sort the lines.
+    """
+    if not isinstance(kind, T.IntegralType):
+        return F.struct("doc_id", "_h", "line_no")
+    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)"))
+    low = F.shiftleft(F.shiftrightunsigned("_h", 33), 31) + F.col("line_no")
+    return (doc * F.lit(2**62) + low).cast("decimal(38,0)")
 
 
-def _key(n: Column, i: int, line: Column, start: Column, length: Column) -> Column:
-    return F.xxhash64(n, F.lit(i), F.substring(line, start, length))
+def _wide(line: Column) -> Column:
+    """A line in four bytes a character, of which a substring is found without walking the line."""
+    return F.encode(line, "UTF-32")
 
 
-def index_keys(line: Column) -> Column:
-    """Keys of a line's own segments."""
-    n = F.length(line)
-    return F.array(*(_key(n, i, line, *_segment(n, i)) for i in range(TAU + 1)))
+def _probes() -> list[tuple[int, int, int]]:
+    """(less, i, shift): segment i of a line shorter by less may stand shift places from where it would."""
+    return [(less, i, shift) for less in range(TAU + 1) for i in range(TAU + 1) for shift in range(max(-i, less - (TAU - i)), min(i, less + (TAU - i)) + 1)]
 
 
-def probe_keys(line: Column) -> Column:
-    """Keys of the substrings that may equal a segment of a line as long, or shorter by up to TAU; with the difference in length."""
-    out = []
-    size = F.length(line)
-    for less in range(TAU + 1):
-        n = size - less
-        for i in range(TAU + 1):
-            start, length = _segment(n, i)
-            low, high = max(-i, less - (TAU - i)), min(i, less + (TAU - i))
-            for shift in range(low, high + 1):
-                out.append(F.struct(_key(n, i, line, start + shift, length).alias("key"), F.lit(less == 0).alias("even")))
-    return F.array(*out)
+def _keyed(lines: DataFrame, probes: list[tuple[int, int, int]]) -> DataFrame:
+    """lines (with a column wide) once for each probe, with the key of its substring and whether it is one of a line as long.
+
+    The places come from a table of constants in each row, so the code that Spark compiles has one substring, not one a probe.
+    """
+    places = F.array(*(F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in probes))
+    rows = lines.select("*", F.inline(places)).withColumn("n", F.shiftright(F.octet_length("wide"), 2) - F.col("less"))
+    # Segment i (from 0) of a line of length n: the last n mod (TAU + 1) are longer by one.
+    rows = rows.withColumns({"base": F.call_function("div", F.col("n"), F.lit(TAU + 1)).cast("int"), "longer": TAU + 1 - F.col("n") % (TAU + 1)})
+    start = F.col("base") * F.col("i") + F.greatest(F.lit(0), F.col("i") - F.col("longer")) + F.col("shift")
+    length = F.col("base") + (F.col("i") >= F.col("longer")).cast("int")
+    key = F.xxhash64("n", "i", F.substring("wide", F.shiftleft(start, 2) + 1, F.shiftleft(length, 2)))
+    return rows.withColumns({"key": key, "even": F.col("less") == 0}).select(*(c for c in lines.columns if c != "wide"), "key", "even")
 
 
 #: Letters that are counted, each modulo 128.
@@ -182,46 +196,45 @@ def _by_size(ids: DataFrame) -> DataFrame:
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
-    """id of the distinct lines (id, first, line) of LEAST characters or more that are within TAU edits of an earlier other one."""
+    """Names (x, z) of the distinct lines (x, z, first, line, c) of LEAST characters or more that are within TAU edits of an earlier other one."""
     lines = lines.where(F.length("line") >= LEAST)
-    keyed = lines.select(F.xxhash64("line").alias("x"), "c", "line")
-    own = keyed.select("x", "c", F.explode(index_keys(F.col("line"))).alias("key"))
-    probe = keyed.select(F.col("x").alias("y"), F.col("c").alias("d"), F.inline(probe_keys(F.col("line"))))
+    wide = lines.select("x", "c", _wide(F.col("line")).alias("wide"))
+    own = _keyed(wide, [(0, i, 0) for i in range(TAU + 1)]).drop("even")
+    probe = _keyed(wide.withColumnsRenamed({"x": "y", "c": "d"}), _probes())
     apart = (F.col("x") != F.col("y")) & (~F.col("even") | (F.col("x") < F.col("y")))
     met = probe.join(own, "key").where(apart & counts_agree(F.col("c"), F.col("d")))
     pairs = kept(met.select("x", "y").distinct(), "lines-pairs")
-    release(lines.sparkSession)
     ids = kept(pairs.select("x").distinct().union(pairs.select("y").distinct()).distinct(), "lines-ids")
-    texts = lines.withColumn("x", F.xxhash64("line")).join(_by_size(ids), "x")
-    texts = kept(texts.select("x", "id", "first", "line"), "lines-texts")
-    a = texts.select("x", F.col("first").alias("first_a"), F.col("line").alias("a"))
-    b = texts.select(F.col("x").alias("y"), F.col("first").alias("first_b"), F.col("line").alias("b"), F.col("id").alias("id_b"))
-    a = a.join(texts.select("x", F.col("id").alias("id_a"), F.col("first").alias("first_a")), ["x", "first_a"])
+    texts = kept(lines.join(_by_size(ids), "x").select("x", "z", "first", "line"), "lines-texts")
+    a = texts.select("x", F.col("z").alias("z_a"), F.col("first").alias("first_a"), F.col("line").alias("a"))
+    b = texts.select(F.col("x").alias("y"), F.col("z").alias("z_b"), F.col("first").alias("first_b"), F.col("line").alias("b"))
     found = pairs.join(a, "x").join(b, "y").where(F.when(pieces_agree(F.col("a"), F.col("b")), within(F.col("a"), F.col("b"))))
-    return found.select(F.when(F.col("first_a") < F.col("first_b"), F.col("id_b")).otherwise(F.col("id_a")).alias("id")).distinct()
+    later = F.col("first_a") < F.col("first_b")
+    found = found.select(F.when(later, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(later, F.col("z_b")).otherwise(F.col("z_a")).alias("z"))
+    out = kept(found.distinct(), "lines-near")
+    drop(pairs, ids, texts)
+    return out
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, _h and the numbers of the lines that go, of the documents that lose some."""
-    spark = docs.sparkSession
-    rows = _lines(docs).withColumn("id", _id(F.col("line")))
-    lines = rows.groupBy("id").agg(F.min(F.struct("doc_id", "_h", "line_no")).alias("first"), F.count("*").alias("n"), F.any_value("line").alias("line"))
-    lines = kept(lines.withColumn("c", letter_counts(F.col("line"))), "lines-distinct", compression="zstd")
-    release(spark)
-    near = kept(near_lines(lines), "lines-near")
-    release(spark)
-    near = near.withColumn("near", F.lit(True))
-    # Only lines that repeat, or go, say anything about where they stand.
-    told = lines.select("id", "first", "n").join(near, "id", "left").where((F.col("n") > 1) | F.col("near"))
-    told = told.select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    at = F.struct("doc_id", "_h", "line_no")
-    found = _lines(docs).select("doc_id", "_h", "line_no", _id(F.col("line")).alias("id")).join(told, "id")
-    found = found.where(F.col("near") | (at != F.col("first")))
+    place = _place(docs.schema["doc_id"].dataType)
+    lines = _lines(docs).select("line", place.alias("at")).groupBy("line").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    lines = kept(lines.select("line", "first", "n", letter_counts(F.col("line")).alias("c"), *(v.alias(k) for k, v in _names(F.col("line")).items())), "lines-distinct", compression="zstd")
+    near = near_lines(lines)
+    # Only lines that repeat, or go, say anything about where they stand; of those that go no place stays.
+    told = lines.where(F.col("n") > 1).select("x", "z", "first")
+    told = kept(told.union(near.select("x", "z", F.lit(None).cast(lines.schema["first"].dataType))), "lines-told")
+    drop(lines, near)
+    rows = _lines(docs).select("doc_id", "_h", "line_no", *(v.alias(k) for k, v in _names(F.col("line")).items()))
+    found = rows.join(_by_size(told), ["x", "z"]).where(F.col("first").isNull() | (place != F.col("first")))
     return found.groupBy("doc_id", "_h").agg(F.collect_set("line_no").alias("gone"))
 
 
 def _without(text: Column, gone: Column) -> Column:
-    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    """What is left of a text without some lines, in time linear in their number."""
+    lines = F.split(text, "\n", -1)
+    left = _let(lines, lambda own: F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), gone), lambda i: F.get(own, i)))
     return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
