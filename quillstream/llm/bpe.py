@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Bytes from which a piece merges by a heap; cells of one matrix; pieces that a worker remembers.
-LONG, CELLS, MEMORY = 256, 1 << 20, 1 << 18
-#: Bytes of text that a worker encodes at a time.
-CHUNK = 4 << 20
+from ._workers import lean
+
+#: Bytes from which a piece merges by a heap; cells of one matrix; pieces that a worker remembers, and the characters of the longest.
+LONG, CELLS, MEMORY, REMEMBERED = 256, 1 << 19, 1 << 17, 32
+#: Characters of text that a worker encodes at a time.
+CHUNK = 1 << 20
 NONE = np.int64(1) << 40
 
 
@@ -161,30 +163,33 @@ class Codec:
                 heapq.heappush(heap, (s, h, ids[h], r))
         return tuple(x for x in ids if x >= 0)
 
-    def encode_pieces(self, pieces: list[str]) -> None:
-        """Remembers the ids of the pieces in self.seen."""
+    def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of each piece."""
+        out: dict[str, tuple[int, ...]] = {}
         by: dict[int, list[tuple[str, bytes]]] = {}
         for p in pieces:
             b = p.encode()
             if b in self.ranks:
-                self.seen[p] = (self.ranks[b],)
+                out[p] = (self.ranks[b],)
             elif len(b) > LONG:
-                self.seen[p] = self._heap(b)
+                out[p] = self._heap(b)
             else:
                 by.setdefault(-(-len(b) // 4), []).append((p, b))
         for bucket, own in by.items():
             step = max(1, CELLS // (4 * bucket))
             for i in range(0, len(own), step):
                 part = own[i : i + step]
-                self.seen.update(zip((p for p, _ in part), self._matrix([b for _, b in part]), strict=True))
+                out.update(zip((p for p, _ in part), self._matrix([b for _, b in part]), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         if len(self.seen) > MEMORY:
             self.seen.clear()
         split = [self.split(t) for t in texts]
-        self.encode_pieces(list({p for s in split for p in s}.difference(self.seen)))
+        new = self.encode_pieces(list({p for s in split for p in s}.difference(self.seen)))
+        self.seen.update((p, ids) for p, ids in new.items() if len(p) <= REMEMBERED)
         seen = self.seen
-        return [[i for p in s for i in seen[p]] for s in split]
+        return [[i for p in s for i in (seen.get(p) or new[p])] for s in split]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -226,7 +231,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -241,7 +246,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataF
             out = [i for texts in _chunks(batch.column("text").to_pylist()) for i in own.encode(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, ids])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def decoded(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -254,4 +259,4 @@ def decoded(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataF
             out = [own.decode(x or []) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

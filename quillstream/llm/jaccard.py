@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import kept
+from ._workers import lean
 from .components import components
 
 WORDS = 5
@@ -44,12 +45,11 @@ SMALL, BLOCK, LEAST_EQUAL = 1024, 4096, 36
 #: Sets and shingles in a block of the exact step.
 EXACT_SETS, EXACT_SHINGLES = 1024, 1 << 21
 #: Bytes of text that are hashed at a time (a longer text alone).
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Up to this many documents of groups are broadcast (about 60 bytes each).
 BROADCAST_DOCS = 100_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _random(n: int, seed: int) -> np.ndarray:
@@ -66,20 +66,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Powers:
-    """Powers of a number modulo 2^64, as many as asked for."""
+def _powers(n: int) -> np.ndarray:
+    """The first n powers of _BASE modulo 2^64, n of 1 at least."""
+    values = np.ones(1, dtype=np.uint64)
+    while len(values) < n:
+        values = np.concatenate([values, values * np.uint64(pow(_BASE, len(values), 1 << 64))])
+    return values[:n]
 
-    def __init__(self, base: int):
-        self.base, self.values = base, np.ones(1, dtype=np.uint64)
 
-    def __getitem__(self, n: int) -> np.ndarray:
-        while len(self.values) < n:
-            step = pow(self.base, len(self.values), 1 << 64)
-            self.values = np.concatenate([self.values, self.values * np.uint64(step)])
-        return self.values[:n]
-
-
-_UP, _DOWN = _Powers(_BASE), _Powers(_INVERSE)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -92,8 +86,13 @@ def shingles(texts: list[str | None]) -> list[np.ndarray]:
     space = _SPACE[data]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _UP[len(data)], dtype=np.uint64)])
-    words = _mix((sums[ends] - sums[starts]) * _DOWN[len(data)][starts] + (ends - starts).astype(np.uint64))
+    lengths = ends - starts
+    words = np.zeros(0, dtype=np.uint64)
+    if len(starts):  # a word's bytes, each times the power of its place in the word
+        inside = np.flatnonzero(~space)
+        place = np.arange(len(inside)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        terms = (data[inside].astype(np.uint64) + np.uint64(1)) * _powers(int(lengths.max()))[place]
+        words = _mix(np.add.reduceat(terms, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
     first = np.concatenate([[0], np.searchsorted(starts, np.cumsum(sizes) + 1)])
     first[-1] = len(starts)
     out = []
@@ -151,7 +150,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "set_id", "n", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set_id binary, n long, sketch array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set_id binary, n long, sketch array<int>")
 
 
 def _streams(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -257,7 +256,7 @@ def groups(reps: DataFrame) -> DataFrame:
     blocks = F.when(F.col("members") <= BLOCK, 1).otherwise(F.ceil(F.col("members") / BLOCK)).cast("int")
     rows = _pairs_of_blocks(rows, blocks, F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
     rows = rows.select("bucket", "i", "j", "own", "set_id", "n", "bytes").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return components(rows.mapInArrow(_sketch_links, "a binary, b binary"))
+    return components(rows.mapInArrow(lean(_sketch_links), "a binary, b binary"))
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -332,7 +331,7 @@ def _with_shingles(rows: DataFrame) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([*(batch.column(c)[part] for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "shingles"])
                 yield out.filter(pa.array(use, pa.bool_()))
 
-    return rows.select(*names, "text").mapInArrow(run, "set_id binary, component binary, copies long, blocks int, shingles binary")
+    return rows.select(*names, "text").mapInArrow(lean(run), "set_id binary, component binary, copies long, blocks int, shingles binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -351,7 +350,7 @@ def classes(docs: DataFrame) -> DataFrame:
     own = _with_shingles(texts)
     parts = _pairs_of_blocks(own, F.col("blocks"), F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     parts = parts.select("component", "i", "j", "own", "set_id", "copies", "shingles").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    exact = kept(parts.mapInArrow(_exact_links, "set_id binary, links long, other binary"), "jaccard-exact")
+    exact = kept(parts.mapInArrow(lean(_exact_links), "set_id binary, links long, other binary"), "jaccard-exact")
     links = exact.where(F.col("links").isNotNull()).groupBy("set_id").agg(F.sum("links").alias("links"))
     joined = components(exact.where(F.col("other").isNotNull()).select(F.col("set_id").alias("a"), F.col("other").alias("b")))
     joined = joined.select(F.col("node").alias("set_id"), "component")

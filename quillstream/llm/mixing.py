@@ -27,7 +27,8 @@ from pyspark.sql.window import Window
 
 from ._store import kept
 
-WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space before it, taken whole.
+WORD = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = "mix-1"
@@ -39,7 +40,9 @@ PER_OCTAVE, SUB_BUCKETS = 64, 4096
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Number of words: one mark for each, then the marks are counted (an array of words would take many times the text's memory)."""
+    marks = F.rtrim(F.regexp_replace(text, WORD, "x"), F.lit(" \t\n\x0b\f\r"))
+    return F.coalesce(F.octet_length(marks), F.lit(0)).cast("long")
 
 
 def quality_weight(text: Column) -> Column:
