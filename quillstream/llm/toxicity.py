@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import kept
+from ._workers import lean
 
 #: Labelled rows that the classifier is fitted on, at most (about: rows are chosen by hash).
 SAMPLE = 40_000
@@ -53,6 +54,10 @@ LETTERS = 28  # a-z, any other letter, and what ends a word
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "£": "l", "*": "aeiou", "#": "h", "%": ""}
 #: Dropping a mark that may stand for a letter costs more than one that stands between letters.
 COST_LOOK, COST_DROP, COST_BETWEEN, COST_REPEAT = 1.0, 5.0, 1.0, 0.5
+#: Dropping a mark at either end, which may be punctuation.
+COST_EDGE = 2.0
+#: Marks at an end that are looked at; length up to which a token of more than two marks a letter is.
+EDGE_MARKS, MOSTLY_MARKS = 3, 8
 #: Characters that are dropped unseen: soft hyphen, zero-width and direction marks, byte order mark.
 UNSEEN = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
@@ -60,8 +65,11 @@ TRIPLE = re.compile(r"([^\W\d_])\1\1")
 SPACED = re.compile(r"(?<!\S)(?:[^\s][ \t]){2,}[^\s](?!\S)")
 EDGE = re.compile(r"^[^\w]+|[^\w]+$|_+$|^_+")
 WORDS = re.compile(r"[^\W\d_]+")
-#: Words that a worker remembers before it forgets them.
-MEMORY = 400_000
+#: Marks around a word that are never letters.
+PLAIN = ".,;:?'\"-)]}«»“”…"
+#: Tokens that a worker remembers before it forgets them (with their features while fitting, a fourth as many), the longest it
+#: remembers, and features that it counts before it hands the counts on.
+MEMORY, REMEMBERED, COUNTED = 160_000, 48, 100_000
 
 
 @lru_cache(maxsize=1)
@@ -94,7 +102,7 @@ def character_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(lean(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     out = np.zeros(LETTERS**3, dtype=np.int64)
     for r in rows.collect():
         out[r.code] = r.n
@@ -113,14 +121,17 @@ class Decoder:
         self.cost = (-np.log(three)).tolist()
         self.table = letter_table()
 
-    def decode(self, word: str) -> str:
-        """The likeliest spelling: letters only, in lower case."""
+    def decode(self, word: str, core: tuple[int, int] | None = None) -> str:
+        """The likeliest spelling: letters only, in lower case. core: where the word starts and ends without the marks at its edges."""
+        low, high = core or (0, len(word))
         paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         before, run = "", 0
-        for c in word:
+        for at, c in enumerate(word):
             run = run + 1 if c == before else 1
             options = [(c, 0.0)] if c.isalpha() else [(x, COST_LOOK) for x in LOOKS.get(c, "")]
             skip = COST_REPEAT if c == before and c.isalpha() else None if c.isalpha() else COST_DROP if LOOKS.get(c) else COST_BETWEEN
+            if not low <= at < high and skip is not None:
+                skip = min(skip, COST_EDGE)
             before = c
             if run > 3 and c.isalpha():
                 continue  # a fourth copy of a letter says no more than a third
@@ -145,19 +156,20 @@ class Decoder:
         return "".join(reversed(out))
 
 
-def _disguised(token: str) -> str | None:
-    """What of a token is to be decoded, if it looks disguised."""
+def _disguised(token: str) -> tuple[str, tuple[int, int]] | None:
+    """What of a token is to be decoded, if it looks disguised, and where it stands without the marks at its edges."""
     core = EDGE.sub("", token)
-    # A mark or two at an end may be a letter; a longer run is noise.
+    # A few marks at an end may be letters; a longer run is noise, and so are exclamation marks alone.
     head, _, tail = token.partition(core) if core else (token, "", "")
-    head = head if 0 < len(head) < 3 and all(c in LOOKS for c in head) and head[0] not in "(*#%!+" else ""
-    tail = tail if 0 < len(tail) < 3 and all(c in LOOKS for c in tail) and tail[0] not in "!*#%|(+" else ""
+    head = head if len(head) <= EDGE_MARKS and all(c in LOOKS for c in head) else ""
+    tail = tail if len(tail) <= EDGE_MARKS and all(c in LOOKS for c in tail) and tail.strip("!") else ""
     word = head + core + tail
     letters = sum(c.isalpha() for c in word)
+    looks = sum(c in LOOKS for c in word)
     marks = len(word) - letters
-    if letters and marks and letters + sum(c in LOOKS for c in word) >= 3 and letters >= marks / 2:
-        return word
-    return core if TRIPLE.search(core) else None
+    if letters and marks and letters + looks >= 3 and (letters >= marks / 2 or (looks == marks and len(word) <= MOSTLY_MARKS)):
+        return word, (len(head), len(head) + len(core))
+    return (core, (0, len(core))) if TRIPLE.search(core) else None
 
 
 def _named(word: str) -> list[str]:
@@ -166,10 +178,12 @@ def _named(word: str) -> list[str]:
 
 def features_of(token: str, decoder: Decoder) -> set[str]:
     """Features of a token in lower case: of its words as they stand, and of what it decodes to."""
+    if (plain := token.strip(PLAIN)).isalpha() and not TRIPLE.search(plain):  # most tokens: one word as it stands
+        return set(_named(plain)) if len(plain) > 1 else set()
     token = UNSEEN.sub("", token)
     out = {f for w in WORDS.findall(token) if len(w) > 1 for f in _named(w)}
-    word = _disguised(token)
-    if word is not None and len(restored := decoder.decode(word)) > 1:
+    found = _disguised(token)
+    if found is not None and len(restored := decoder.decode(*found)) > 1:
         out.update(_named(restored))
     return out
 
@@ -204,11 +218,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
         for batch in batches:
             yield batch.append_column("least", pa.array([_least_shingle(t or "") for t in batch.column("text").to_pylist()], pa.int64()))
 
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "toxic", "text")
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "toxic", "text", F.xxhash64("text").alias("h"))
     schema = T.StructType([*rows.schema.fields, T.StructField("least", T.LongType())])
-    rows = kept(rows.mapInArrow(least, schema), "toxicity-rows")
-    one = rows.groupBy("least", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    return rows.join(F.broadcast(one), ["least", "toxic", "doc_id"], "left_semi").select("doc_id", "toxic", "text")
+    rows = kept(rows.mapInArrow(lean(least), schema), "toxicity-rows")
+    # Of rows that repeat an id one text counts, so there are no more rows than ids known.
+    one = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("least", "h")).alias("m")).select("doc_id", "toxic", "m.*")
+    one = one.groupBy("least", "toxic").agg(F.min(F.struct("doc_id", "h")).alias("m")).select("m.*")
+    return rows.join(F.broadcast(one), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
 
 
 def _tail(n: int, t: int, p: float) -> float:
@@ -224,26 +240,36 @@ def fit(rows: DataFrame, counts: np.ndarray) -> dict[str, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, by = Decoder(counts), (Counter(), Counter())
         memory: dict[str, set[str]] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            names = list({*by[0], *by[1]})
+            for i in range(0, len(names), 50_000):
+                part = names[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([x.encode("utf-8", "replace").decode() for x in part]), pa.array([by[1][x] for x in part], pa.int64()), pa.array([by[0][x] for x in part], pa.int64())], names=["feature", "t", "c"])
+            by[0].clear()
+            by[1].clear()
+
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 own: set[str] = set()
                 for t in tokens_of(text or ""):
-                    if t not in memory:
-                        memory[t] = features_of(t, decoder)
-                    own |= memory[t]
+                    if (found := memory.get(t)) is None:
+                        found = features_of(t, decoder)
+                        if len(t) <= REMEMBERED:
+                            memory[t] = found
+                    own |= found
                 by[toxic > 0].update(own)
-                if len(memory) > MEMORY:
+                if len(memory) > MEMORY // 4:
                     memory.clear()
-        names = list({*by[0], *by[1]})
-        for i in range(0, len(names), 50_000):
-            part = names[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x.encode("utf-8", "replace").decode() for x in part]), pa.array([by[1][x] for x in part], pa.int64()), pa.array([by[0][x] for x in part], pa.int64())], names=["feature", "t", "c"])
+                if len(by[0]) + len(by[1]) > COUNTED:
+                    yield from told()
+        yield from told()
 
     sums = {bool(r.toxic): r.n for r in rows.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if len(sums) < 2:
         return {}
     rate = sums[True] / (sums[True] + sums[False])
-    found = kept(rows.mapInArrow(run, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxicity-features")
+    found = kept(rows.mapInArrow(lean(run), "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxicity-features")
     # A feature of few rows can't reach a small chance, so it does not count as tested.
     sizes = {r.n: r.k for r in found.groupBy((F.col("t") + F.col("c")).alias("n")).agg(F.count("*").alias("k")).collect()}
     least = LEAST
@@ -290,7 +316,7 @@ def calibrate(rows: DataFrame, weights: dict[str, float], counts: np.ndarray) ->
             columns = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(c, pa.float64()) for c in columns)], names=["toxic", "e", "h", "n"])
 
-    got = sorted(rows.mapInArrow(run, "toxic int, e double, h double, n double").collect())  # in one order, so that sums agree
+    got = sorted(rows.mapInArrow(lean(run), "toxic int, e double, h double, n double").collect())  # in one order, so that sums agree
     toxic, e, h, n = (np.array([float(r[i]) for r in got]) for i in range(4))
     toxic = toxic > 0
     return regress(e, h, n, toxic) if toxic.any() and not toxic.all() else None
@@ -303,16 +329,29 @@ class Scorer:
         self.weights, self.line, self.decoder = weights, line, Decoder(counts)
         self.seen: set[str] = set()
         self.flagged: dict[str, float] = {}
+        #: The first letters of all features; a plain word that starts otherwise has none of them.
+        self.starts = {f.rstrip("-")[:4] for f in weights}
+
+    def ratio(self, token: str) -> float | None:
+        """The strongest ratio of a token's features."""
+        plain = token.strip(PLAIN)
+        if plain[:4] not in self.starts and plain.isalpha() and not TRIPLE.search(plain):
+            return None
+        return max((self.weights[f] for f in features_of(token, self.decoder) if f in self.weights), default=None)
 
     def evidence(self, text: str | None) -> tuple[float, float, float]:
         """Sum of ratios, number of distinct words that have one, and number of words."""
         text = text or ""
         tokens = tokens_of(text)
+        found = [self.flagged[t] for t in tokens & self.flagged.keys()]
         for t in tokens - self.seen:
-            if hits := [self.weights[f] for f in features_of(t, self.decoder) if f in self.weights]:
-                self.flagged[t] = max(hits)
-        self.seen |= tokens
-        found = sorted(self.flagged[t] for t in tokens & self.flagged.keys())
+            if (ratio := self.ratio(t)) is not None:
+                found.append(ratio)
+            if len(t) <= REMEMBERED:
+                self.seen.add(t)
+                if ratio is not None:
+                    self.flagged[t] = ratio
+        found.sort()
         if len(self.seen) > MEMORY:
             self.seen.clear()
             self.flagged.clear()
@@ -346,7 +385,7 @@ def with_score(docs: DataFrame, fitted: Model, name: str = "score") -> DataFrame
             scores = pa.array(own.scores(batch.column("text").to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
