@@ -15,10 +15,10 @@ def parts(url: Column) -> Column:
 
 
 def first_query_value(query: Column, key: str) -> Column:
-    """First value of a key that is not blank, decoded."""
-    pairs = F.filter(F.split(query, "&"), lambda x: x.rlike(f"^{key}=.+"))
-    value = F.substring(F.get(pairs, F.lit(0)), len(key) + 2, 1 << 20)
-    return F.try_url_decode(value)
+    """First value of a key that is not blank once decoded."""
+    pairs = F.filter(F.split(query, "&"), lambda x: x.startswith(key + "="))
+    values = F.transform(pairs, lambda x: F.try_url_decode(F.regexp_replace(x, f"^{key}=", "")))
+    return F.get(F.filter(values, lambda x: x.rlike(r"(?U)[^\s\x1c-\x1f]")), F.lit(0))
 
 
 def video_id(url: Column) -> Column:
@@ -34,11 +34,11 @@ def video_id(url: Column) -> Column:
     return F.when(sound, found)
 
 
-def file_name(name: Column, most: int = 150) -> Column:
-    """A name fit for a file: forbidden characters, runs of space and ends tidied, at most so many characters."""
+def file_name(name: Column, most: int = 150, most_bytes: int = 120) -> Column:
+    """A name fit for a file: forbidden characters, runs of space and ends tidied, at most so many characters and UTF-8 bytes."""
     name = F.regexp_replace(F.trim(name), r"[<>:\"/\\|?*\n\r\t]+", "_")
     name = F.btrim(F.regexp_replace(name, r"\s+", " "), F.lit(" ."))
-    name = F.regexp_replace(F.substring(name, 1, most), "[ .]+$", "")
+    name = within_bytes(F.regexp_replace(F.substring(name, 1, most), "[ .]+$", ""), most_bytes)
     return F.coalesce(F.nullif(name, F.lit("")), F.lit("lecture"))
 
 
@@ -54,3 +54,27 @@ def escaped(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
+
+
+def lecture_url(url: Column) -> Column:
+    """What a page links to for a job's URL: the watch page of a video id, else the URL without its query; null if it is no web address."""
+    url = F.trim(url)
+    origin = F.regexp_extract(url, r"(?i)^(https?://[^/?#\s]+)", 1)
+    host = F.regexp_replace(F.lower(F.regexp_replace(origin, r"(?i)^https?://", "")), r"^.*@|:\d+$", "")
+    path = F.regexp_extract(url, r"(?i)^https?://[^/?#]+(/[^?#]*)", 1)
+    asked = first_query_value(F.regexp_extract(url, r"\?([^#]*)", 1), "v")
+    id = F.coalesce(asked, F.when(host == "youtu.be", F.substring(path, 2, 4096)).otherwise(F.regexp_extract(path, "^/(?:shorts|embed|live)/([^/]+)", 1)))
+    whole = F.concat(F.lower(origin), F.when(path == "", "/").otherwise(path))
+    return F.when(origin != "", F.when(id.rlike("^[A-Za-z0-9_-]{11}$"), F.concat(F.lit("https://www.youtube.com/watch?v="), id)).otherwise(whole))
+
+
+def legacy_title(path: Column) -> Column:
+    """A title from the old file names <id>_<title>[_english]_transcript[_cleanedv<n>].txt; null for other names."""
+    name = F.regexp_extract(path, r"([^/\\]*)$", 1)
+    stem = F.regexp_replace(name, r"(?i)(?:_english)?_transcript(?:_cleanedv\d+)?\.txt$", "")
+    title = F.trim(F.replace(F.regexp_replace(stem, "^[A-Za-z0-9_-]{11}_", ""), F.lit("_"), F.lit(" ")))
+    return F.when(name.rlike(r"(?i)_transcript(?:_cleanedv\d+)?\.txt$"), F.nullif(title, F.lit("")))
+
+
+def canonical(video: Column) -> Column:
+    return F.concat(F.lit("https://www.youtube.com/watch?v="), video)

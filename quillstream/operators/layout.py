@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ def format_text(text: pd.Series, language: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def format_timed(text: pd.Series, segments: pd.Series, language: pd.Series) -> pd.Series:
-    return pd.Series([k.formatted(t, s if s is not None else None, x) for t, s, x in zip(text, segments, language, strict=True)], dtype=object)
+    return pd.Series([k.formatted(t, s, x) for t, s, x in zip(text, segments, language, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -37,6 +39,17 @@ def strip_stock_phrases(text: pd.Series) -> pd.Series:
     return pd.Series([k.without_stock_phrases(t) for t in text], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def spoken(text: pd.Series) -> pd.Series:
+    """Text without loops, then without stock phrases, in one pass."""
+    return pd.Series([k.without_stock_phrases(k.collapsed(t)) for t in text], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def paragraph_timed(text: pd.Series, segments: pd.Series) -> pd.Series:
+    return pd.Series([k.paragraphed(t, s) for t, s in zip(text, segments, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def fold_words(text: pd.Series) -> pd.Series:
     return pd.Series([[f for f in map(k.folded, (t or "").split()) if f] for t in text], dtype=object)
@@ -62,7 +75,45 @@ def chunk_rows(docs: DataFrame, most: int = k.LIMITS.chunk) -> DataFrame:
     return docs.select("doc_id", F.posexplode(split("text")).alias("chunk_no", "text"))
 
 
+def rewritten(chunks: DataFrame, generate: Callable[[str, str | None], str | None] | None = None) -> DataFrame:
+    """chunks (doc_id, chunk_no, text, language) with output and outcome (ok, failed, lost).
+
+    generate takes a chunk and its language and returns the rewritten text; it runs in Arrow batches where the
+    chunks are. Without one the text comes back as it is. LookupError means that the provider is lost, any other
+    error that this chunk failed.
+    """
+    schema = T.StructType([*chunks.schema.fields, T.StructField("output", T.StringType()), T.StructField("outcome", T.StringType())])
+
+    def one(text: str | None, language: str | None) -> tuple[str | None, str]:
+        if generate is None:
+            return text, "ok"
+        try:
+            out = generate(text or "", language)
+        except LookupError:
+            return None, "lost"
+        except Exception:
+            return None, "failed"
+        return (out, "ok") if isinstance(out, str) else (None, "failed")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            done = [one(t, x) for t, x in zip(frame["text"], frame["language"], strict=True)]
+            yield frame.assign(output=[o for o, _ in done], outcome=[o for _, o in done])
+
+    return chunks.mapInPandas(run, schema)
+
+
+@F.udtf(returnType="chunk_no: int, chunk: string")
+class SplitText:
+    """split_text(text, most): a row for each chunk of a text."""
+
+    def eval(self, text: str, most: int):
+        yield from enumerate(k.chunks(text, most))
+
+
 def register(spark: SparkSession) -> None:
     """Makes the functions known to SQL."""
-    for name, f in {"format_text": format_text, "paragraph_text": paragraph_text, "collapse_loops": collapse_loops, "strip_stock_phrases": strip_stock_phrases, "fold_words": fold_words, "sentence_spans": sentence_spans, "split_sentences": split_sentences}.items():
-        spark.udf.register(name, f)
+    functions = (format_text, format_timed, paragraph_text, paragraph_timed, collapse_loops, strip_stock_phrases, spoken, fold_words, sentence_spans, split_sentences)
+    for f in functions:
+        spark.udf.register(f.__name__, f)
+    spark.udtf.register("split_text", SplitText)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstream.functions import languages as lg
+from quillstream.functions.columns import let
 from quillstream.operators import layout
 
 PART_SECONDS, MOST_BYTES, SPEECH_LETTERS = 300, 25 * 1024 * 1024, 100
@@ -31,31 +32,37 @@ def needs_split(duration: Column, n_bytes: Column, part_seconds: float = PART_SE
 
 def probed(parts: DataFrame) -> DataFrame:
     """parts with a column probe: the text without loops, then without stock phrases, so that silence casts no vote."""
-    return parts.withColumn("probe", layout.strip_stock_phrases(layout.collapse_loops(F.col("text"))))
+    return parts.withColumn("probe", layout.spoken(F.col("text")))
 
 
 def votes(parts: DataFrame, probe: str = "text") -> DataFrame:
     """lecture, part_no, script, code, n_letters of parts (lecture, part_no, text, reported); nulls where too little is said."""
-    t = F.col(probe)
-    # Counted once; as one expression the verdict would outgrow what code generation takes.
-    rows = parts.select("lecture", "part_no", "reported", lg.script_language(t).alias("_script"), lg.arabic_share(t).alias("_share"), lg.letters(t).alias("_n"), lg.normalized(F.col("reported")).alias("_code"))
-    rows = rows.withColumn("_candidate", lg.resolved_codes(F.col("_script"), F.col("_share"), F.col("_code"), F.lit(None).cast("string")))
-    sure = F.col("_candidate").isin(*lg.ARABIC_SCRIPT) | (F.col("_candidate") == F.col("reported"))
-    said = F.col("_script").isNotNull()
-    rows = rows.withColumn("code", F.when(said & (F.col("_n") >= SPEECH_LETTERS) & sure, F.col("_candidate")))
-    arabic = F.coalesce(F.col("code").isin(*lg.ARABIC_SCRIPT), F.col("_script") == "ar")
-    return rows.select("lecture", "part_no", F.when(said, F.when(arabic, "arabic").otherwise("latin")).alias("script"), "code", F.when(said, F.col("_n")).alias("n_letters"))
+    code = lg.normalized(F.col("reported"))
+
+    def cast(c: Column) -> Column:
+        script, n = lg.verdict(c), c["arabic"] + c["latin"]
+        candidate = lg.resolved_codes(script, lg.share(c), code, F.lit(None).cast("string"))
+        sure = candidate.isin(*lg.ARABIC_SCRIPT) | (candidate == F.col("reported"))
+        known = F.when((n >= SPEECH_LETTERS) & sure, candidate)
+        arabic = F.coalesce(known.isin(*lg.ARABIC_SCRIPT), script == "ar")
+        return F.when(script.isNotNull(), F.struct(F.when(arabic, "arabic").otherwise("latin").alias("script"), known.alias("code"), n.alias("n_letters")))
+
+    # The letters are bound by let(), so that they are counted once however often the verdict looks at them.
+    return parts.select("lecture", "part_no", let(lg.counted(F.col(probe)), cast).alias("_v")).select("lecture", "part_no", "_v.script", "_v.code", "_v.n_letters")
 
 
 def majority(cast: DataFrame) -> DataFrame:
-    """lecture, script, language: the script with most letters (ties: arabic), in it the code with most (ties: the first part's)."""
-    some = cast.where(F.col("script").isNotNull())
-    scripts = some.groupBy("lecture", "script").agg(F.sum("n_letters").alias("n"))
-    top = scripts.groupBy("lecture").agg(F.max(F.struct(F.col("n"), (F.col("script") == "arabic").alias("a"), F.col("script"))).alias("best"))
-    top = top.where(F.col("best.n") > 0).select("lecture", F.col("best.script").alias("script"))
-    codes = some.where(F.col("code").isNotNull()).groupBy("lecture", "script", "code").agg(F.sum("n_letters").alias("n"), (-F.min("part_no")).alias("early"))
-    named = codes.groupBy("lecture", "script").agg(F.max(F.struct("n", "early", "code"))["code"].alias("code"))
-    return top.join(named, ["lecture", "script"], "left").select("lecture", "script", F.coalesce("code", F.when(F.col("script") == "arabic", "ar")).alias("language"))
+    """lecture, script, language: the script with most letters (ties: arabic), in it the code with most (ties: the first part's).
+
+    One aggregation by lecture, script and code, so a long lecture is summed before it is shuffled; what meets for a lecture are its codes.
+    """
+    sums = cast.where(F.col("script").isNotNull()).groupBy("lecture", "script", "code").agg(F.sum("n_letters").alias("n"), (-F.min("part_no")).alias("early"))
+    rows = sums.groupBy("lecture").agg(F.collect_list(F.struct("n", "early", "code", "script")).alias("own"))
+    weight = lambda s: F.aggregate(F.filter("own", lambda x: x["script"] == s), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    rows = rows.withColumns({"_a": weight("arabic"), "_l": weight("latin")}).where("_a + _l > 0")
+    rows = rows.withColumn("script", F.when(F.col("_a") >= F.col("_l"), "arabic").otherwise("latin"))
+    best = F.array_max(F.filter("own", lambda x: x["code"].isNotNull() & (x["script"] == F.col("script"))))
+    return rows.select("lecture", "script", F.coalesce(best["code"], F.when(F.col("script") == "arabic", "ar")).alias("language"))
 
 
 def to_redo(cast: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -66,9 +73,21 @@ def to_redo(cast: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.where((F.col("script") != group) | (F.col("code").isNotNull() & (F.col("code") != F.col("target")))).select("lecture", "part_no", "target")
 
 
+ANSWER = "struct<text:string,segments:array<struct<start:double,end:double,text:string>>,reported:string,usage:array<string>>"
+
+
 def merged(first: Column, again: Column) -> Column:
-    """A second answer stands in for the first unless it is empty."""
-    return F.coalesce(F.nullif(again, F.lit("")), first)
+    """Two answers (structs of text, segments, reported, usage): the second stands in for the first unless its text is empty; usage holds both."""
+    given = F.coalesce(F.trim(again["text"]), F.lit("")) != ""
+    pick = lambda name: F.when(given, again[name]).otherwise(first[name]).alias(name)
+    none = F.array().cast("array<string>")
+    usage = F.concat(F.coalesce(first["usage"], none), F.coalesce(again["usage"], none))
+    return F.struct(pick("text"), pick("segments"), pick("reported"), usage.alias("usage"))
+
+
+def part_of(start: Column, part_seconds: float = PART_SECONDS) -> Column:
+    """Number of the fixed-length part in which a second lies."""
+    return F.floor(start / part_seconds).cast("int")
 
 
 def reported_mode(parts: DataFrame) -> DataFrame:

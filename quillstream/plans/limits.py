@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-WINDOW, PER_ADDRESS, PER_USER, OVERALL, MOST_ACTIVE, REUSE_PER_CLIENT, REUSE_OVERALL = 3600, 3, 6, 60, 10, 20, 200
+from . import admission
+
+WINDOW, PER_ADDRESS, PER_USER = admission.LIMITS.window, 3, 6
 
 
 def client_key(trusted: Column, user: Column, address: Column) -> Column:
@@ -27,29 +24,9 @@ def offered(log: DataFrame, seconds: int = WINDOW) -> DataFrame:
     return log.withColumn("offered", F.count("*").over(w))
 
 
-def _admit(limit: int, seconds: int):
-    span = seconds * 1_000_000
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "id"])
-        log: deque[int] = deque()
-        admitted, wait = [], []
-        for at in rows["at"].tolist():
-            while log and log[0] <= at - span:
-                log.popleft()
-            ok = len(log) < limit
-            admitted.append(ok)
-            wait.append(None if ok else max(1, math.ceil((log[0] + span - at) / 1_000_000)))
-            if ok:
-                log.append(at)
-        return pd.DataFrame({"id": rows["id"], "client": rows["client"], "at": rows["at"], "admitted": admitted, "retry_after": pd.array(wait, dtype="Int64")})
-
-    return run
-
-
 def admitted(log: DataFrame, limit: int = PER_ADDRESS, seconds: int = WINDOW) -> DataFrame:
-    """log (id, client, at) with admitted and, if not, retry_after seconds. Only what is admitted counts, so each client's log is one pass."""
-    return log.groupBy("client").applyInPandas(_admit(limit, seconds), "id long, client long, at long, admitted boolean, retry_after long")
+    """log (id, client, at) with admitted and, if not, retry_after seconds."""
+    return admission.admitted(log, limit, seconds)
 
 
 def sessions(times: DataFrame, gap_seconds: int = 900) -> DataFrame:
@@ -74,7 +51,3 @@ def sessions(times: DataFrame, gap_seconds: int = 900) -> DataFrame:
 def needed(now: Column, active: Column, pending: Column, finished: Column, grace: int = 900) -> Column:
     """Whether the service is to be kept awake."""
     return (active > 0) | (pending > 0) | F.coalesce(now - finished < grace, F.lit(False))
-
-
-def rows_of(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(frames), ignore_index=True)

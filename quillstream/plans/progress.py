@@ -96,7 +96,7 @@ def delivered(attempts: DataFrame, most: int = 5) -> DataFrame:
     done = (F.col("code") < 300) | ((F.col("code") >= 400) & (F.col("code") < 500) & ~F.col("code").isin(408, 425, 429))
     w = Window.partitionBy("job_id", "url").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)
     rows = attempts.where(F.col("attempt") <= most).withColumn("_done", done.cast("int"))
-    rows = rows.where(F.coalesce(F.max("_done").over(w), F.lit(0)) == 0)
+    rows = rows.withColumn("_ended", F.coalesce(F.max("_done").over(w), F.lit(0))).where("_ended = 0")
     return rows.groupBy("job_id", "url").agg(F.max("attempt").alias("tries"), F.max((F.col("code") < 300).cast("int")).alias("ok"))
 
 
@@ -104,3 +104,37 @@ def remaining(estimate_s: Column, started_at: Column, now: Column) -> Column:
     """Seconds left, shown only above five."""
     left = F.greatest(F.lit(0.0), estimate_s - (now - started_at))
     return F.when(left > 5, left)
+
+
+#: HTTP codes of a provider (fixed values): those that end its use, those worth another attempt.
+FATAL_CODES, TRANSIENT_CODES = (401, 402, 403, 404), (408, 409, 425, 429, 500, 502, 503, 504)
+
+
+def attempts(outcomes: DataFrame, most: int = 2) -> DataFrame:
+    """doc_id, chunk_no, tries, outcome: of attempts (doc_id, chunk_no, attempt, outcome, retryable) the first that is ok or must not be tried again, else the last allowed."""
+    rows = outcomes.where(F.col("attempt") <= most)
+    final = (F.col("outcome") == "ok") | ~F.coalesce("retryable", F.lit(True))
+    ends = F.min(F.when(final, F.struct("attempt", "outcome")))
+    best = rows.groupBy("doc_id", "chunk_no").agg(F.coalesce(ends, F.max(F.struct("attempt", "outcome"))).alias("m"))
+    return best.select("doc_id", "chunk_no", F.col("m.attempt").alias("tries"), F.col("m.outcome").alias("outcome"))
+
+
+def http_class(code: Column) -> Column:
+    """What a provider's answer means: ok, transient (also no answer), fatal (the provider is lost), rejected (this text only)."""
+    return F.when((code >= 200) & (code < 300), "ok").when(code.isNull() | code.isin(*TRANSIENT_CODES), "transient").when(code.isin(*FATAL_CODES), "fatal").otherwise("rejected")
+
+
+def backoff(attempt: Column, retry_after: Column, most: int = 30) -> Column:
+    """Seconds before the next attempt (from 1): what the provider asks for, else doubling; never more than `most`."""
+    return F.least(F.lit(float(most)), F.greatest(F.lit(0.0), F.coalesce(retry_after.try_cast("double"), F.pow(F.lit(2.0), attempt - 1))))
+
+
+#: Words for a stage (own wording).
+LABELS = {"queued": "Waiting its turn", "checking_cache": "Looking in the archive", "cache_hit": "Found in the archive", "downloading": "Fetching the audio", "transcribing": "Writing down the speech", "formatting": "Laying out the text", "saving": "Saving", "completed": "Done", "failed": "Stopped"}
+
+
+def label(stage: Column, index: Column, total: Column) -> Column:
+    """Words for a stage, with the part it is at."""
+    words = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv)), stage), F.lit(LABELS["queued"]))
+    part = F.concat(words, F.lit(" ("), index.cast("string"), F.lit(" of "), total.cast("string"), F.lit(")"))
+    return F.when(F.coalesce(total, F.lit(0)) > 0, F.coalesce(part, words)).otherwise(words)

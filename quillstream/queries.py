@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstream.functions import urls
 from quillstream.functions import languages as lg
 from quillstream.functions import text as tx
-from quillstream.functions import urls
 from quillstream.operators import layout, markdown, votes
 from quillstream.plans import limits, progress, registry
 
@@ -115,23 +115,13 @@ _ENDS = r"""(regexp_matches(w, '[.!?\x{61f}\x{2026}]+["''\x{201d}\x{2019}\x{bb})
     OR regexp_matches(rtrim(rtrim(w, '"''”’»)]'), '.'), '^\p{L}$'))))"""
 
 
-def _ends(w):
-    """Whether a token ends a sentence, as an expression."""
-    bare = F.regexp_replace(w, "[\"'”’»)\\]]+$", "")
-    stem = F.lower(F.regexp_replace(bare, r"\.+$", ""))
-    from quillstream.operators.kernels import ABBREVIATIONS
-
-    short = F.replace(stem, F.lit("."), F.lit("")).isin(*sorted(ABBREVIATIONS)) | stem.rlike(r"^\p{L}$")
-    return w.rlike("[.!?؟…]+[\"'”’»)\\]]*$") & ~(bare.rlike(r"(?:^|[^.])\.$") & short)
-
-
 @_query(f"""
 WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS w FROM documents)
 SELECT doc_id, count(*)::BIGINT AS n_tokens, count(*) FILTER (WHERE {_ENDS})::BIGINT AS n_ends FROM t GROUP BY doc_id
 """)
 def sentence_ends(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("w"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if(_ends(F.col("w"))).alias("n_ends"))
+    rows = _docs(spark, d).select("doc_id", tx.tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.filter("w", tx.ends_sentence)).cast("long").alias("n_ends"))
 
 
 @_query(f"""
@@ -140,10 +130,12 @@ s AS (SELECT doc_id, pos, coalesce(sum(CASE WHEN {_ENDS} THEN 1 ELSE 0 END) OVER
 SELECT doc_id, sentence::BIGINT AS sentence, count(*)::BIGINT AS n_words, min(pos)::INTEGER AS first FROM s GROUP BY doc_id, sentence
 """)
 def sentences_flagged(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("pos", "w"))
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("sentence", F.coalesce(F.sum(_ends(F.col("w")).cast("long")).over(w), F.lit(0)))
-    return rows.groupBy("doc_id", "sentence").agg(F.count("*").alias("n_words"), F.min("pos").alias("first"))
+    # Each answer depends on one row, so nothing is shuffled: places of sentence ends, then the spans between them.
+    rows = _docs(spark, d).select("doc_id", tx.tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    starts = F.transform(F.filter(F.transform("w", lambda x, i: F.when(tx.ends_sentence(x), i + 1)), lambda i: i < F.size("w")), lambda i: i)
+    rows = rows.select("doc_id", F.size("w").alias("n"), F.concat(F.array(F.lit(0)), starts).alias("s"))
+    spans = F.transform("s", lambda x, k: F.struct(k.cast("long").alias("sentence"), (F.coalesce(F.get("s", k + 1), F.col("n")) - x).cast("long").alias("n_words"), x.alias("first")))
+    return rows.select("doc_id", F.inline(spans))
 
 
 _SPANS = rf"""t AS (SELECT doc_id, {_TOKENS} AS ws FROM documents), f AS (
@@ -187,10 +179,7 @@ g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, w ORDER BY pos) AS
 SELECT doc_id, w AS word, min(pos)::INTEGER - 1 AS first, count(*)::BIGINT AS n FROM g GROUP BY doc_id, w, island HAVING count(*) >= 3
 """)
 def loop_runs_size1(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.posexplode(F.transform(tx.tokens(F.col("text")), F.lower)).alias("pos", "word"))
-    w = Window.partitionBy("doc_id", "word").orderBy("pos")
-    rows = rows.withColumn("island", F.col("pos") - F.row_number().over(w))
-    return rows.groupBy("doc_id", "word", "island").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n >= 3").drop("island")
+    return _docs(spark, d).select("doc_id", F.inline(tx.word_runs(F.col("text"))))
 
 
 @_query()
@@ -220,14 +209,28 @@ b AS (SELECT *, lag(key) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM k2
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE key <> '' AND key = before)::BIGINT AS n_dropped FROM b GROUP BY doc_id
 """)
 def adjacent_line_dedupe(spark, d):
-    rows = markdown.line_rows(_docs(spark, d))
-    kept = markdown.adjacent_kept(rows, ["doc_id"], "line_no", "line").groupBy("doc_id").agg(F.count("*").alias("k"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines")).join(kept, "doc_id").select("doc_id", "n_lines", (F.col("n_lines") - F.col("k")).alias("n_dropped"))
+    rows = _docs(spark, d).select("doc_id", F.size(markdown.keyed_lines(F.col("text"))).cast("long").alias("n_lines"), F.size(markdown.distinct_lines(F.col("text"))).alias("k"))
+    return rows.where("n_lines > 0").select("doc_id", "n_lines", (F.col("n_lines") - F.col("k")).alias("n_dropped"))
 
 
-@_query()
+_SIDES = _WS.rstrip("+")
+_TRIM = lambda x: f"regexp_replace({x}, '^{_WS}|{_WS}$', '', 'g')"
+_FORM = lambda x: rf"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\x{{600}}-\x{{6ff}}]+', ' ', 'g'))"
+_UNIT_KEY = lambda x: rf"CASE WHEN len(string_split({_FORM(x)}, ' ')) >= 3 AND regexp_matches({_FORM(x)}, '\p{{L}}') THEN {_FORM(x)} ELSE '' END"
+_KEPT = "list_filter({0}, lambda v, j: v.k = '' OR j = 1 OR v.k <> {0}[j - 1].k)"
+
+
+@_query(rf"""
+WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{{2028}}\x{{2029}}]'), lambda x, i: struct_pack(x := {_TRIM('x')}, i := i)), lambda u: u.x <> '') AS nb FROM documents),
+k AS (SELECT doc_id, list_transform(nb, lambda u, j: struct_pack(x := u.x, b := u.i - j, k := {_UNIT_KEY('u.x')})) AS nb FROM l),
+f AS (SELECT doc_id, {_KEPT.format('nb')} AS nb FROM k),
+p AS (SELECT doc_id, list_transform(nb, lambda u: struct_pack(b := u.b, ps := list_transform(list_filter(list_transform(string_split(regexp_replace(u.x, '([.!?\x{{61f}}]){_WS}', '\1' || chr(1), 'g'), chr(1)), lambda q: {_TRIM('q')}), lambda q: q <> ''), lambda q: struct_pack(x := q, k := {_UNIT_KEY('q')})))) AS nb FROM f),
+s AS (SELECT doc_id, list_transform(nb, lambda u: struct_pack(b := u.b, x := array_to_string(list_transform({_KEPT.format('u.ps')}, lambda q: q.x), ' '))) AS nb FROM p),
+t AS (SELECT doc_id, array_to_string(list_transform(nb, lambda u, j: CASE WHEN j = 1 THEN '' WHEN u.b <> nb[j - 1].b THEN chr(10) || chr(10) ELSE chr(10) END || u.x), '') AS t FROM s)
+SELECT doc_id, length(t)::INTEGER AS n_chars, md5(t) AS digest FROM t
+""")
 def adjacent_unit_dedupe(spark, d):
-    return markdown.deduplicated(_docs(spark, d)).select("doc_id", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    return _docs(spark, d).select("doc_id", markdown.without_repeats(F.col("text")).alias("t")).select("doc_id", F.length("t").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
 def _packed_sql(units: str, most: int, gap: int) -> str:
@@ -240,16 +243,8 @@ SELECT doc_id, z.n AS n_chunks, z.longest AS longest FROM r"""
 
 
 def _packed(rows: DataFrame, units, most: int, gap: int) -> DataFrame:
-    """doc_id, n_chunks, longest by one pass over unit lengths in constant state."""
-    zero = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("longest"))
-
-    def add(a, x):
-        fits = (a["n"] > 0) & (a["size"] + gap + x <= most)
-        size = F.when(fits, a["size"] + gap + x).otherwise(x).cast("long")
-        return F.struct(size.alias("size"), F.when(fits, a["n"]).otherwise(a["n"] + 1).alias("n"), F.greatest(a["longest"], size).alias("longest"))
-
-    rows = rows.select("doc_id", F.transform(units, lambda x: F.length(x).cast("long")).alias("u")).where(F.size("u") > 0)
-    return rows.select("doc_id", F.aggregate("u", zero, add).alias("z")).select("doc_id", F.col("z.n").alias("n_chunks"), F.col("z.longest").alias("longest"))
+    rows = rows.select("doc_id", units.alias("u")).where(F.size("u") > 0)
+    return rows.select("doc_id", tx.packed(F.col("u"), most, gap).alias("z")).select("doc_id", "z.n", "z.longest").withColumnRenamed("n", "n_chunks")
 
 
 @_query(_packed_sql(_TOKENS, 500, 1))
@@ -259,7 +254,7 @@ def chunk_pack_words(spark, d):
 
 @_query(_packed_sql("list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')", 3000, 1))
 def chunk_pack_lines(spark, d):
-    lines = F.filter(F.transform(F.split("text", "\n", -1), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     return _packed(_docs(spark, d), lines, 3000, 1)
 
 
@@ -329,7 +324,7 @@ g AS (SELECT *, sum(CASE WHEN kind IS NOT NULL AND (kind = 'heading' OR before I
 SELECT doc_id, block_no::BIGINT AS block_no, min(kind) AS kind, count(*)::BIGINT AS n_lines FROM g WHERE kind IS NOT NULL GROUP BY doc_id, block_no
 """)
 def markdown_blocks(spark, d):
-    return markdown.blocks(_docs(spark, d))
+    return markdown.blocks(_docs(spark, d)).drop("text")
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
@@ -341,20 +336,13 @@ def part_offsets(spark, d):
     return votes.offsets(_parts(spark, d)).select("lecture", "part_no", "offset")
 
 
-_VOTES = f"""l AS (SELECT source, doc_id, lang, {_count(_AR)} AS a, {_count(_AR)} + {_count(_LA)} AS n FROM documents),
-v AS (SELECT source, doc_id, n, CASE WHEN a::DOUBLE / n >= 0.3 THEN 'arabic' ELSE 'latin' END AS script, CASE WHEN n >= 100 THEN lang END AS code FROM l WHERE n >= 20),
-g AS (SELECT source, script, sum(n) AS n FROM v GROUP BY ALL), top AS (SELECT source, arg_max(script, n) AS script FROM g GROUP BY source),
-c AS (SELECT source, script, code, sum(n) AS n, min(doc_id) AS early FROM v WHERE code IS NOT NULL GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY source, script ORDER BY n DESC, early) AS k FROM c),
-m AS (SELECT top.source AS lecture, top.script, r.code AS language FROM top LEFT JOIN r ON r.source = top.source AND r.script = top.script AND r.k = 1)"""
-
-
-@_query(f"WITH {_VOTES} SELECT * FROM m")
+# Loops and stock phrases are out of SQL's reach, so the two votes are held against a brute-force version in the tests.
+@_query()
 def lecture_vote(spark, d):
     return votes.majority(votes.votes(votes.probed(_parts(spark, d)), "probe"))
 
 
-@_query(f"WITH {_VOTES} SELECT m.lecture, v.doc_id AS part_no, m.language AS target FROM m JOIN v ON v.source = m.lecture WHERE v.code IS NOT NULL AND v.code <> m.language")
+@_query()
 def parts_to_redo(spark, d):
     cast = votes.votes(votes.probed(_parts(spark, d)), "probe")
     return votes.to_redo(cast, votes.majority(cast))
@@ -392,11 +380,15 @@ def latest_per_key(spark, d):
     return registry.newest_reusable(rows, "v").select(F.col("video_id").alias("user_id"), F.col("mode").alias("event_type"), F.col("job_id").alias("event_id"), "value")
 
 
-@_query("SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) x WHERE ts - before < INTERVAL 1 HOUR")
+@_query("""
+WITH a AS (SELECT user_id, arg_min(event_id, (ts, event_id)) AS active_job FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id)
+SELECT e.event_id, a.active_job FROM events e JOIN a ON a.user_id = e.user_id WHERE e.event_type = 'purchase'
+""")
 def active_duplicates(spark, d):
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    rows = _events(spark, d).withColumn("at", _micros("ts")).withColumn("before", F.lag("at").over(w))
-    return rows.where(F.col("at") - F.col("before") < 3_600_000_000).select("event_id")
+    status = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "running").otherwise("completed")
+    rows = _events(spark, d).select(F.col("event_id").alias("job_id"), F.col("user_id").alias("video_id"), F.lit("auto").alias("language"), F.lit("fast").alias("mode"), status.alias("status"), F.col("ts").alias("submitted_at"), "event_type")
+    requests = rows.where("event_type = 'purchase'").select(F.col("job_id").alias("event_id"), *registry.KEYS)
+    return registry.first_active(rows, requests).select("event_id", "active_job")
 
 
 @_query("""
@@ -525,7 +517,9 @@ def safe_filenames(spark, d):
     return _table(spark, d, "pages").select("page_id", urls.file_name(F.col("url")).alias("name"))
 
 
-_SLICES = "o AS (SELECT user_id, epoch_us(min(ts)) AS created_at, epoch_us(max(ts)) AS updated_at, max(value) AS value FROM events WHERE event_id % 3 = 0 GROUP BY user_id), w AS (SELECT user_id, epoch_us(min(ts)) AS created_at, epoch_us(max(ts)) AS updated_at, max(value) AS value FROM events WHERE event_id % 3 = 1 AND user_id % 2 = 0 GROUP BY user_id)"
+_ENTRY = "epoch_us(min(ts)) AS created_at, epoch_us(max(ts)) AS updated_at, max(value) AS value"
+_LATE = "coalesce(ts >= (SELECT date_trunc('day', max(ts)) FROM events), false)"
+_SLICES = f"o AS (SELECT user_id, {_ENTRY} FROM events WHERE NOT {_LATE} GROUP BY user_id), w AS (SELECT user_id, {_ENTRY} FROM events WHERE {_LATE} GROUP BY user_id)"
 
 
 def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -538,16 +532,17 @@ def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
     return entries(rows.where(~late)), entries(rows.where(late))
 
 
-@_query(f"WITH {_SLICES} SELECT coalesce(o.user_id, w.user_id) AS user_id, coalesce(o.created_at, w.created_at) AS created_at, coalesce(w.updated_at, o.updated_at) AS updated_at, coalesce(w.value, o.value) AS value FROM o FULL JOIN w ON o.user_id = w.user_id")
+@_query(f"WITH {_SLICES} SELECT coalesce(o.user_id, w.user_id) AS user_id, coalesce(o.created_at, w.created_at) AS created_at, coalesce(w.updated_at, o.updated_at) AS updated_at, coalesce(w.value, o.value) AS value FROM o FULL JOIN w ON o.user_id IS NOT DISTINCT FROM w.user_id")
 def cache_upsert(spark, d):
     return registry.upserted(*_halves(spark, d), "user_id")
 
 
-@_query(f"WITH {_SLICES} SELECT user_id FROM o WHERE user_id NOT IN (SELECT user_id FROM w)")
+@_query(f"WITH {_SLICES} SELECT user_id FROM o WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.user_id = o.user_id)")
 def cache_stale(spark, d):
     old, new = _halves(spark, d)
-    old = old.select("user_id", F.lit("v").alias("format_version"), F.col("user_id").cast("string").alias("cleaned_path"))
-    files = new.select(F.col("user_id").cast("string").alias("path"))
+    paths = {"raw_path": F.concat(F.col("user_id").cast("string"), F.lit(".txt")), "cleaned_path": F.concat(F.col("user_id").cast("string"), F.lit(".md"))}
+    old = old.select("user_id", F.lit("v").alias("format_version"), *(p.alias(c) for c, p in paths.items()))
+    files = new.select(F.explode(F.array(*paths.values())).alias("path"))
     return registry.stale(old, "v", files).select("user_id")
 
 

@@ -14,10 +14,10 @@ from quillstream.plans.limits import PER_ADDRESS, WINDOW
 from quillstream.plans.progress import STAGES
 
 
-def sessions(times: DataFrame, gap: str = "900 seconds", late: str = "1 hour") -> DataFrame:
-    """Busy sessions of finish times (ts); final once the watermark has passed them."""
-    rows = times.withWatermark("ts", late).groupBy(F.session_window("ts", gap)).agg(F.count("*").alias("n"))
-    return rows.select(F.col("session_window.start").alias("begin"), F.col("session_window.end").alias("until"), "n")
+def sessions(times: DataFrame, by: str = "service", gap: str = "900 seconds", late: str = "1 hour") -> DataFrame:
+    """Busy sessions of each service's finish times (ts); final once the watermark has passed them. Spark has no session windows without a key."""
+    rows = times.withWatermark("ts", late).groupBy(F.session_window("ts", gap), by).agg(F.count("*").alias("n"))
+    return rows.select(by, F.col("session_window.start").alias("begin"), F.col("session_window.end").alias("until"), "n")
 
 
 def offered(log: DataFrame, window: str = "1 hour", slide: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
