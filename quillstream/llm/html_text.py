@@ -7,7 +7,11 @@ tag or name says it holds an article. The best container and those of its siblin
 like text are kept, without the menus, notices, forms, comments and the like inside them; where an
 article or main element holds the best container, it is that element that is kept.
 
-A page is one row of one batch, so pages need no shuffle; work is linear in the page's length.
+A page is one row of one batch, so pages need no shuffle. Open elements are found by tag, so work is linear in the
+page's length however deep it is nested (but for a tag with an unfinished quote, which is looked for to the page's end).
+
+A name in class, id or role is boilerplate by itself only as a whole; where an article may use it of its own parts
+(`discussion`, `notice-period`), controls, links or brevity must speak against the element too.
 
 Defined results: a null or empty html gives an empty text with 0 characters; markup without any paragraph
 gives what text its body has outside boilerplate; an unclosed element ends with its parent; an
@@ -35,8 +39,13 @@ LEAVES = HEADINGS | frozenset("p li dd dt pre td th blockquote figcaption captio
 ENDS = {"p": BLOCKS - {"option", "optgroup", "head", "title"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": {"body"}}
 #: Where a search for an open element to end stops.
 SCOPES = frozenset(("table", "ul", "ol", "dl", "td", "th", "div", "section", "article", "main", "body", "html"))
-#: Words in class, id or role that mark boilerplate; a container that holds most points may carry one of the second set.
-NEVER = frozenset("ad ads adv advert adverts advertisement advertising adbox sponsor sponsored sponsors promo promotion comment comments commentlist disqus respond reply replies discussion responses notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager login alert toast paywall feedback dialog contentinfo navigation".split())
+#: Words in class, id or role that mark boilerplate; a container that holds most points may carry one of RARELY.
+NEVER = frozenset("ad ads adv advert adverts advertisement advertising adbox sponsor sponsored sponsors promo promotion comment comments commentlist disqus cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager login toast paywall contentinfo navigation".split())
+#: Words that an article may use of its own parts too.
+UNSURE = frozenset("respond reply replies discussion responses notice notices alert feedback dialog".split())
+#: Words beside those of the sets above that say only how an element is laid out.
+LAYOUT = frozenset("a area articles bar block bottom box btn button buttons center col container content group header icon icons inline inner item items left link links list main module outer panel post posts right row section slot stories text thread title top unit user users view widget widgets wrap wrapper".split())
+CONTROLS = frozenset(("button", "form", "input", "select", "textarea"))
 RARELY = frozenset("nav navbar menu sidebar aside complementary footer header masthead banner widget widgets toolbar search form hidden topbar".split())
 GOOD = frozenset("article body content entry main page post story text blog hentry articlebody".split())
 
@@ -44,57 +53,118 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAME_PARTS = re.compile(r"[a-z0-9]+")
 COMMAS = re.compile("[,،、，;]")
+#: Characters from which what has a doubtful name passes for a part of the article.
+SECTION = 400
 
 
 class Node:
-    __slots__ = ("bad", "children", "good", "links", "parent", "points", "tag", "text")
+    __slots__ = ("bad", "children", "controls", "depth", "doubt", "good", "headed", "inside", "links", "parent", "points", "tag", "text")
 
-    def __init__(self, tag: str, parent: Node | None, bad: int, good: bool):
-        self.tag, self.parent, self.bad, self.good = tag, parent, bad, good
+    def __init__(self, tag: str, parent: Node | None, bad: int, good: bool, doubt: str = ""):
+        self.tag, self.parent, self.bad, self.good, self.doubt = tag, parent, bad, good, doubt
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.controls, self.headed = 0, tag in HEADINGS
         self.children: list = []  # nodes, and (text, is link) of inline runs
         self.points, self.text, self.links = 0.0, 0, 0
 
 
-def _marks(tag: str, attributes: str) -> tuple[int, bool]:
-    """(2: boilerplate, 1: boilerplate unless it holds most of the page, 0), and whether the name speaks for an article."""
+def _named(name: str) -> str:
+    """What one name of a class, id or role says: never, rarely, whole or part (doubtful as a whole, or in part), good, or nothing."""
+    parts = NAME_PARTS.findall(name)
+    if not parts or parts[0] in ("has", "with", "no", "without"):
+        return ""
+    plain = [p for p in parts if not p.isdigit()]
+    if any(p in NEVER for p in parts):
+        return "never" if all(p in NEVER or p in RARELY or p in UNSURE or p in LAYOUT for p in plain) else "part"
+    if any(p in UNSURE for p in parts):
+        return "whole" if all(p in UNSURE or p in LAYOUT for p in plain) else "part"
+    return "rarely" if any(p in RARELY for p in parts) else "good" if any(p in GOOD for p in parts) else ""
+
+
+def _marks(tag: str, attributes: str) -> tuple[int, bool, str]:
+    """(2: boilerplate, 1: boilerplate unless it holds most of the page, 0), whether the name speaks for an article, and doubt: whole, part or none."""
     bad = 2 if tag in DROPPED else 1 if tag == "header" else 0
     if not attributes:
-        return bad, False
-    good = False
+        return bad, False, ""
+    said: set[str] = set()
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if key in ("class", "id", "role"):
-            for name in value.split():
-                parts = NAME_PARTS.findall(name)
-                if not parts or parts[0] in ("has", "with", "no", "without"):
-                    continue
-                if any(p in NEVER for p in parts):
-                    bad = 2
-                elif any(p in RARELY for p in parts):
-                    bad = max(bad, 1)
-                good = good or any(p in GOOD for p in parts)
+            said.update(map(_named, value.split()))
         elif (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)) or (key == "aria-hidden" and value == "true"):
             bad = 2
-    if re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub(" ", attributes)):
+    if "never" in said or re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub(" ", attributes)):
         bad = 2
-    return (0 if tag in ("html", "body", "main") else bad), good and bad == 0
+    elif "rarely" in said:
+        bad = max(bad, 1)
+    if tag in ("html", "body", "main"):
+        return 0, "good" in said, ""
+    doubt = "whole" if "whole" in said else "part" if "part" in said else ""
+    if tag == "article":  # names of an article tell its kind
+        return (0 if bad < 2 else bad), True, ""
+    return bad, "good" in said and bad == 0, doubt if bad < 2 else ""
+
+
+class _Open:
+    """The elements that are open, found by tag without a climb through all ancestors."""
+
+    def __init__(self, root: Node):
+        self.node = root
+        self.by: dict[str, list[Node]] = {}
+        self.scopes: list[Node] = [root]
+        self.walls: list[Node] = [root]  # scopes that an implied end does not pass
+
+    def enter(self, child: Node) -> None:
+        self.node = child
+        self.by.setdefault(child.tag, []).append(child)
+        if child.tag in SCOPES:
+            self.scopes.append(child)
+            if child.tag not in ("td", "th"):
+                self.walls.append(child)
+
+    def leave(self, end: Node) -> None:
+        """Closes end and all that is open within it."""
+        while True:
+            gone = self.node
+            self.by[gone.tag].pop()
+            for stack in (self.scopes, self.walls):
+                if stack[-1] is gone:
+                    stack.pop()
+            self.node = gone.parent
+            if gone is end:
+                return
+
+    def to_end(self, tag: str) -> Node | None:
+        """The element that an end tag closes."""
+        own = self.by.get(tag)
+        if not own or (tag in ("p", "li", "dd", "dt") and own[-1].depth < self.scopes[-1].depth):
+            return None
+        return own[-1]
+
+    def implied(self, tag: str) -> Node | None:
+        """The innermost element that a start tag ends."""
+        open_ = (self.by[k][-1] for k, ends in ENDS.items() if tag in ends and self.by.get(k))
+        found = max(open_, key=lambda x: x.depth, default=None)
+        return found if found is not None and found.depth > self.walls[-1].depth else None
 
 
 def parse(html: str) -> Node:
     """The tree of block elements."""
-    root = node = Node("html", None, 0, False)
-    link, skip, at, n = 0, None, 0, len(html)
+    root = Node("html", None, 0, False)
+    open_ = _Open(root)
+    link, at, n = 0, 0, len(html)
     lower = None
 
     def text(a: int, b: int) -> None:
         if b > a:
-            node.children.append((unescape(html[a:b]), link > 0))
+            open_.node.children.append((unescape(html[a:b]), link > 0))
 
     while at < n:
         m = TOKEN.search(html, at)
         if not m:
             rest = html.find("<", at)  # an unfinished tag at the very end is markup
-            text(at, n if rest < 0 or not re.match(r"<[/a-zA-Z]", html[rest:]) else rest)
+            text(at, n if rest < 0 or not re.match(r"<[/a-zA-Z]", html[rest : rest + 2]) else rest)
             break
         text(at, m.start())
         at = m.end()
@@ -105,47 +175,37 @@ def parse(html: str) -> Node:
         if close:
             if tag == "a":
                 link = 0
-            elif tag in BLOCKS or tag in DROPPED:
-                up = node
-                while up.parent is not None and up.tag != tag and not (tag in ("p", "li", "dd", "dt") and up.tag in SCOPES):
-                    up = up.parent
-                if up.tag == tag and up.parent is not None:
-                    node, link = up.parent, 0
-            else:
-                continue
+            elif (end := open_.to_end(tag)) is not None:
+                open_.leave(end)
+                link = 0
             continue
+        if tag in CONTROLS:
+            open_.node.controls += 1
         if tag in RAW:
             lower = lower if lower is not None else html.lower()
             if len(lower) != n:  # a few letters change length in lower case
                 lower = "".join(c if len(c.lower()) > 1 else c.lower() for c in html)
-            end = lower.find(f"</{tag}", at)
-            at = n if end < 0 else html.find(">", end) + 1 or n
-            continue
-        if tag == "br" or tag == "wbr":
-            if tag == "br":
-                node.children.append((" ", False))
+            end_at = lower.find(f"</{tag}", at)
+            at = n if end_at < 0 else html.find(">", end_at) + 1 or n
             continue
-        if tag == "a":
+        if tag == "br":
+            open_.node.children.append((" ", False))
+        elif tag == "a":
             link = 1
         if tag in VOID and tag != "hr" or not (tag in BLOCKS or tag in DROPPED):
             continue
-        up = node
-        while up.parent is not None:  # implied ends
-            if tag in ENDS.get(up.tag, ()):
-                node, link = up.parent, 0
-                break
-            if up.tag in SCOPES and up.tag not in ("td", "th"):
-                break
-            up = up.parent
+        if (end := open_.implied(tag)) is not None:
+            open_.leave(end)
+            link = 0
+        if tag == "hr":
+            open_.node.children.append(Node("hr", open_.node, 0, False))
         if tag in ("html", "body", "hr"):
-            if tag == "hr":
-                node.children.append(Node("hr", node, 0, False))
             continue
-        bad, good = _marks(tag, attributes)
-        child = Node(tag, node, bad, good)
-        node.children.append(child)
+        child = Node(tag, open_.node, *_marks(tag, attributes))
+        open_.node.children.append(child)
         if not attributes.endswith("/"):
-            node, link = child, 0
+            open_.enter(child)
+            link = 0
     return root
 
 
@@ -187,9 +247,22 @@ def _score(root: Node) -> list[Node]:
         if node.parent is not None:
             node.parent.text += node.text
             node.parent.links += node.links
+            node.parent.controls += node.controls
+            node.parent.headed |= node.headed
+    for node in nodes:
+        if node.doubt:
+            _settle(node)
     return nodes
 
 
+def _settle(node: Node) -> None:
+    """A doubtful name alone does not make boilerplate. A part of one needs controls or mostly links beside it; a whole one needs
+    them too, or to be short and without a heading, for sections of an article have one."""
+    linked = node.links / max(node.text, 1)
+    if node.controls or linked > 0.5 or (node.doubt == "whole" and (linked > 0.3 or (not node.headed and node.text < SECTION))):
+        node.bad = 2
+
+
 def _value(node: Node) -> float:
     bonus = 25 * (node.tag in ("article", "main")) + 10 * node.good - 25 * (node.bad > 0)
     return (node.points + (bonus if node.text else 0)) * (1 - node.links / max(node.text, 1))
@@ -213,7 +286,7 @@ def _text(node: Node, out: list[str], keep: Node | None = None) -> None:
                 if t := " ".join("".join(parts).split()):
                     own.append(t)
                 parts = []
-            if c is None or c.bad == 2 or (c.bad == 1 and not (c.tag == "header" and _in_article(c))):
+            if c is None or c.bad == 2 or (c.bad == 1 and not (c.tag == "header" and c.inside)):
                 continue
             if c.tag in ("ul", "ol", "div", "section", "table") and c.links > 0.8 * c.text and len(c.children) > 1:
                 continue
@@ -221,15 +294,6 @@ def _text(node: Node, out: list[str], keep: Node | None = None) -> None:
         stack.extend(reversed(own))
 
 
-def _in_article(node: Node) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.tag in ("article", "main"):
-            return True
-        up = up.parent
-    return False
-
-
 def extract(html: str | None) -> str:
     """The main text of a page."""
     if not html:
@@ -237,10 +301,11 @@ def extract(html: str | None) -> str:
     root = parse(html)
     nodes = _score(root)
     total = sum(n.points for n in nodes) or 1
+    held = max((n.points for n in nodes if n.tag in ("article", "main")), default=0)
     for n in nodes:  # a name like `sidebar` on what holds most of the page is layout
-        if n.bad == 1 and n.tag != "header" and n.points > 0.3 * total and not any(x.tag in ("article", "main") and x.points > n.points for x in nodes):
+        if n.bad == 1 and n.tag != "header" and n.points > 0.3 * total and held <= n.points:
             n.bad = 0
-    best = max(nodes, key=_value)
+    best = max((n for n in nodes if n.bad < 2), key=_value)
     if _value(best) <= 0:
         best = root
     up = best

@@ -5,41 +5,46 @@
    are copies; from here on one set stands for all of them.
 2. Chosen paths: in each of RUNS runs all sets are split by one sketch token. A bucket of more than
    SMALL sets is split again by further tokens that its own path chooses (one, or two in a quarter of
-   the cases, so that a pair at the threshold keeps one common path on average), up to LEVELS times.
+   the cases, so that a pair at the threshold keeps one common path on average), until it is small, its sets
+   are too alike to be split, or after LEVELS tokens.
 3. Buckets are searched by brute force on sketches of a byte an entry; large ones in blocks, every pair of
    blocks a task of its own. Sets that may be similar are joined to groups (components).
 4. In each group the exact similarity of all pairs is computed from the whole shingle sets as sums of
    bits, again by pairs of blocks of bounded size. Only counts and a spanning forest leave a task,
    never the pairs.
 
-A pair at similarity 0.8 shares a path in a run with a probability of at least 0.8 * 0.84^2 = 0.56 (0.8 if
-buckets are small), so 10 runs miss less than 0.03 %; and the exact step also finds a pair that all runs missed
-if its group holds both.
+A pair at similarity 0.8 shares a path in a run with a probability of 0.8 if buckets are small, and of about
+0.8 * 0.84^2 = 0.56 after two more splits, for which runs_for() takes as many runs as miss less than 0.03 %; the
+exact step also finds a pair that all runs missed if its group holds both. Tests measure the recall on buckets
+beyond SMALL and BLOCK.
 
 Defined results: words are runs of characters other than ASCII white space; a text of one to four words
 is one shingle; a text without words (null, empty) is alone in its class without links; rows that repeat are
-copies; a class is named by its least doc_id (null if it has none); an empty table gives no rows; further
-columns are ignored by classes() and passed on by one_of_each().
+copies; a class is named by its least doc_id (null if it has none); rows that share a doc_id but not their text
+are told apart by the text; an empty table gives no rows; further columns are ignored by classes() and passed on by one_of_each().
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import kept
+from ._store import drop, kept
 from ._workers import lean
 from .components import components
 
 WORDS = 5
 #: Similarity of at least ABOVE / BELOW.
 ABOVE, BELOW = 4, 5
-RUNS, LEVELS, SKETCH = 10, 3, 64
+SKETCH, RECALL = 64, 0.9997
+#: Splits of a path at most; the share of a bucket that a split must take off for the path to go on.
+LEVELS, SHRINKS = 5, 0.1
 #: Sets in a bucket that is not split further; in a block of a bucket; least equal sketch entries of 64 (0.8 gives fewer once in 100,000).
 SMALL, BLOCK, LEAST_EQUAL = 1024, 4096, 36
 #: Sets and shingles in a block of the exact step.
@@ -129,7 +134,7 @@ def _name(own: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, set_id, n, sketch of every text; set_id is null without words."""
+    """doc_id, h (hash of the text), set_id, n, sketch of every text; set_id is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,11 +151,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                         values[t, some] = np.minimum.reduceat((flat * _MULTIPLY[t] + _ADD[t]) >> np.uint64(32), at).astype(np.uint32)
                 rows = values.T.copy().view(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[part], pa.array([_name(s) for s in sets], pa.binary()), pa.array(counts, pa.int64()), pa.array(list(rows), pa.list_(pa.int32()))],
-                    names=["doc_id", "set_id", "n", "sketch"],
+                    [batch.column("doc_id")[part], batch.column("h")[part], pa.array([_name(s) for s in sets], pa.binary()), pa.array(counts, pa.int64()), pa.array(list(rows), pa.list_(pa.int32()))],
+                    names=["doc_id", "h", "set_id", "n", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set_id binary, n long, sketch array<int>")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, set_id binary, n long, sketch array<int>")
 
 
 def _streams(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -194,26 +199,41 @@ def _forest(near: np.ndarray) -> Iterator[tuple[int, int]]:
                 yield root, int(i)
 
 
-def paths(reps: DataFrame) -> DataFrame:
-    """bucket, members and set_id: the buckets with more than one set where paths end."""
-    spark = reps.sparkSession
-    runs = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.xxhash64(F.lit("run"), r, F.get("sketch", r)))
-    active = reps.select("set_id", F.explode(runs).alias("bucket"))
+def runs_for(recall: float = RECALL, levels: int = 3) -> int:
+    """Runs after which a pair at the threshold has met with this probability: each run keeps it with 0.8 at its first token and
+    0.84 at each split after that."""
+    met = 0.8 * 0.84 ** (levels - 1)
+    return math.ceil(math.log(1 - recall) / math.log(1 - met))
+
+
+RUNS = runs_for()
+
+
+def paths(reps: DataFrame, small: int = SMALL, levels: int = LEVELS, runs: int = RUNS) -> DataFrame:
+    """bucket, members and set_id: the buckets with more than one set where paths end.
+
+    A path ends where its bucket is small, where the last split took off less than SHRINKS (its sets are so
+    alike that splitting would part only pairs that belong together), or after so many splits.
+    """
+    first = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.xxhash64(F.lit("run"), r, F.get("sketch", r)))
+    active = reps.select("set_id", F.explode(first).alias("bucket"), F.lit(None).cast("long").alias("before"))
     done = None
-    for level in range(LEVELS):
+    for level in range(levels):
         sizes = active.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > 1)
-        rows = kept(active.join(sizes, "bucket").select("bucket", "members", "set_id"), "jaccard-paths")
-        last = level == LEVELS - 1
-        ends = rows if last else rows.where(F.col("members") <= SMALL)
+        rows = kept(active.join(sizes, "bucket").select("bucket", "members", "set_id", "before"), "jaccard-paths")
+        alike = F.coalesce(F.col("members") > (1 - SHRINKS) * F.col("before"), F.lit(False))
+        goes_on = (F.col("members") > small) & ~alike & F.lit(level < levels - 1)
+        ends = rows.where(~goes_on).select("bucket", "members", "set_id")
         done = ends if done is None else done.union(ends)
-        if last:
+        large = rows.where(goes_on)
+        if level == levels - 1 or large.isEmpty():
             break
         # The path so far chooses the next tokens among those that no run starts with.
-        large = rows.where(F.col("members") > SMALL).join(reps.select("set_id", "sketch"), "set_id")
-        token = lambda k: (F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(SKETCH - RUNS)) + RUNS).cast("int")
+        large = large.join(reps.select("set_id", "sketch"), "set_id")
+        token = lambda k: (F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(SKETCH - runs)) + runs).cast("int")
         child = lambda k: F.xxhash64("bucket", F.lit(k), F.get("sketch", token(k)))
         children = F.when(F.pmod(F.xxhash64("bucket", F.lit(-1)), F.lit(4)) == 0, F.array(child(0), child(1))).otherwise(F.array(child(0)))
-        active = large.select("set_id", F.explode(children).alias("bucket"))
+        active = large.select("set_id", F.explode(children).alias("bucket"), F.col("members").alias("before"))
     return done
 
 
@@ -249,11 +269,11 @@ def _sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
 
 
-def groups(reps: DataFrame) -> DataFrame:
+def groups(reps: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """(node, component) of the sets that may be similar to another."""
     low = F.array_join(F.transform("sketch", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255))), 2, "0")), "")
-    rows = paths(reps).join(reps.select("set_id", "n", F.unhex(low).alias("bytes")), "set_id")
-    blocks = F.when(F.col("members") <= BLOCK, 1).otherwise(F.ceil(F.col("members") / BLOCK)).cast("int")
+    rows = paths(reps, small).join(reps.select("set_id", "n", F.unhex(low).alias("bytes")), "set_id")
+    blocks = F.when(F.col("members") <= block, 1).otherwise(F.ceil(F.col("members") / block)).cast("int")
     rows = _pairs_of_blocks(rows, blocks, F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
     rows = rows.select("bucket", "i", "j", "own", "set_id", "n", "bytes").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return components(rows.mapInArrow(lean(_sketch_links), "a binary, b binary"))
@@ -334,38 +354,61 @@ def _with_shingles(rows: DataFrame) -> DataFrame:
     return rows.select(*names, "text").mapInArrow(lean(run), "set_id binary, component binary, copies long, blocks int, shingles binary")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, links (other documents with a similarity of 0.8 or more) and _set of every row of docs."""
-    spark = docs.sparkSession
+def _first() -> Column:
+    """What orders rows: known ids first, then ids, then hashes of texts."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h"))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, h, class_id, links, _set and _rep (unknown, doc_id, h of the row that stands for the class; null without words) of every row of docs."""
     rows = kept(sketches(docs), "jaccard-docs")
-    reps = rows.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    reps = rows.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(_first().alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     reps = kept(reps, "jaccard-sets")
     found = kept(groups(reps).select(F.col("node").alias("set_id"), "component"), "jaccard-groups")
-    # The texts of sets in groups, each to every pair of blocks of its group.
-    found = found.join(reps.drop("sketch"), "set_id")
-    sizes = found.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / EXACT_SETS), F.ceil(F.sum("n") / EXACT_SHINGLES)).cast("int").alias("blocks"))
-    members = kept(found.join(sizes, "component").select("set_id", "component", "copies", "blocks", F.col("doc_id").alias("rep")), "jaccard-members")
+    # The texts of sets in groups, each to every pair of blocks of its group. A set's text is found by id and hash, so rows that share an id don't meet.
+    told = found.join(reps.drop("sketch"), "set_id")
+    sizes = told.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / EXACT_SETS), F.ceil(F.sum("n") / EXACT_SHINGLES)).cast("int").alias("blocks"))
+    members = kept(told.join(sizes, "component").select("set_id", "component", "copies", "blocks", F.col("first.doc_id").alias("rep"), F.col("first.h").alias("rep_h")), "jaccard-members")
     few = members.count() <= BROADCAST_DOCS
-    texts = docs.select("doc_id", "text").join(F.broadcast(members) if few else members, F.col("doc_id").eqNullSafe(F.col("rep")))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    texts = texts.join(F.broadcast(members) if few else members, (F.col("h") == F.col("rep_h")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     own = _with_shingles(texts)
     parts = _pairs_of_blocks(own, F.col("blocks"), F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     parts = parts.select("component", "i", "j", "own", "set_id", "copies", "shingles").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     exact = kept(parts.mapInArrow(lean(_exact_links), "set_id binary, links long, other binary"), "jaccard-exact")
+    drop(found, members)
     links = exact.where(F.col("links").isNotNull()).groupBy("set_id").agg(F.sum("links").alias("links"))
     joined = components(exact.where(F.col("other").isNotNull()).select(F.col("set_id").alias("a"), F.col("other").alias("b")))
     joined = joined.select(F.col("node").alias("set_id"), "component")
-    told = kept(links.join(joined, "set_id"), "jaccard-links")
-    least = told.join(reps.select("set_id", "doc_id"), "set_id").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    told = told.join(least, "component").select("set_id", "links", F.col("class_id").alias("_least"), F.lit(True).alias("_linked"))
-    sets = reps.select("set_id", "copies", F.col("doc_id").alias("_rep")).join(told, "set_id", "left")
-    sets = sets.select("set_id", F.when(F.col("_linked"), F.col("_least")).otherwise(F.col("_rep")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = rows.select("doc_id", "set_id").join(kept(sets, "jaccard-classes"), "set_id", "left")
-    alone = F.col("set_id").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.col("set_id").alias("_set"))
+    linked = kept(links.join(joined, "set_id").join(reps.select("set_id", "first"), "set_id"), "jaccard-links")
+    least = linked.groupBy("component").agg(F.min("first").alias("_rep"))
+    linked = linked.join(least, "component").select("set_id", "links", "_rep")
+    sets = reps.select("set_id", "copies", "first").join(linked, "set_id", "left")
+    sets = sets.select("set_id", F.coalesce("_rep", "first").alias("_rep"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    out = rows.select("doc_id", "h", "set_id").join(kept(sets, "jaccard-classes"), "set_id", "left")
+    drop(exact, linked)
+    class_id = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("_rep.doc_id"))
+    return out.select("doc_id", "h", class_id.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.col("set_id").alias("_set"), "_rep")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, links (other rows with a similarity of 0.8 or more) and _set of every row of docs."""
+    return _classes(docs).select("doc_id", "class_id", "links", "_set")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns: of each class only those that hold its least doc_id (a class without any keeps all)."""
-    found = classes(docs)
-    gone = found.where(F.col("class_id").isNotNull() & ~F.col("class_id").eqNullSafe(F.col("doc_id")))
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    """Rows of docs, all columns: of each class one, that with the least known doc_id (of several texts under it, the least hash; of rows
+    that repeat both, any); rows without words, which are alone in their class, all stay."""
+    found = kept(_classes(docs).select("doc_id", "h", "_rep"), "jaccard-rows")
+    known = found.where(F.col("_rep").isNotNull())
+    stays = (F.col("h") == F.col("_rep.h")) & F.col("doc_id").eqNullSafe(F.col("_rep.doc_id"))
+    gone = known.where(~stays).select(F.col("doc_id").alias("_d"), F.col("h").alias("_x")).distinct()
+    again = kept(known.where(stays).groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_d"), F.col("h").alias("_x")), "jaccard-again")
+    same = (F.col("_hash") == F.col("_x")) & F.col("_doc_id").eqNullSafe(F.col("_d"))
+    rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_doc_id"), F.xxhash64("text").alias("_hash"))
+    rows = rows.join(gone, same, "left_anti")
+    n = again.count()
+    if n:  # rows that stay and repeat both id and text, once
+        twice = F.broadcast(again) if n <= BROADCAST_DOCS else again
+        rows = rows.join(twice, same, "left_anti").union(rows.join(twice, same, "left_semi").dropDuplicates(["_doc_id", "_hash"]))
+    return rows.select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))

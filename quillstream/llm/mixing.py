@@ -1,6 +1,6 @@
 """Mixing sources to target weights (op1), with DataFrame functions only.
 
-Every document gets an Efraimidis-Spirakis key -ln(u) / w, where u is a hash of its id and w
+Every document gets an Efraimidis-Spirakis key -ln(u) / w, where u is a hash of its id and text and w
 its quality weight: taking the smallest keys first is a weighted sample without replacement.
 A source with target t and size s is taken floor(t / s) times in whole epochs; the rest of the
 target goes to the documents with the smallest keys, up to the word budget.
@@ -12,7 +12,7 @@ sub-bucket in which it ends (about a millionth of the source) is sorted. The res
 is one cut-off key, so the documents themselves are never shuffled.
 
 Defined results: a null text has size 0; null sources form one source, ordered last; rows that
-agree in doc_id and size (repeated rows) share a key and are taken together; an empty table
+agree in doc_id and text share a key, and where the budget ends among them as many are taken as come nearest to it; an empty table
 gives no rows; other columns, whatever their names, are ignored by mix() and passed on by
 mixed_documents().
 """
@@ -36,7 +36,7 @@ SEED = "mix-1"
 SYMBOLS = "#$%&*@<>{}[]|=_~^\\+"
 #: Up to this many sources their table is broadcast (under 1 MB); beyond, Spark joins by shuffle and splits skewed sources.
 BROADCAST_SOURCES = 10_000
-PER_OCTAVE, SUB_BUCKETS = 64, 4096
+PER_OCTAVE, SUB_BUCKETS, SALTS = 64, 4096, 4096
 
 
 def n_words(text: Column) -> Column:
@@ -55,7 +55,8 @@ def quality_weight(text: Column) -> Column:
 def _keyed(docs: DataFrame) -> list[Column]:
     """Size, hash and key of a row of docs."""
     size = n_words(F.col("text"))
-    name = F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), size.cast("string"))
+    # Rows that share an id but not their text have keys of their own.
+    name = F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     u = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("long")
     key = -F.log((u + 0.5) / float(2**52)) / quality_weight(F.col("text"))
     return [size.alias("_size"), u.alias("_u"), key.alias("_key")]
@@ -122,21 +123,47 @@ def plan(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> tupl
     sums = join(rows, at, "_b1").groupBy("source", "_b1", "_b2", "_before", "rest").agg(F.sum("_size").alias("_s"))
     at = _ends_in(sums, ["source", "_b1"], "_b2").select("source", "_b1", "_b2", "_before", "rest")
     at = kept(at, "mix-second")
-    last = join(rows, at, "_b1", "_b2").groupBy("source", "_key", "_u", "_before", "rest").agg(F.sum("_size").alias("_s"))
+    last = join(rows, at, "_b1", "_b2").groupBy("source", "_key", "_u", "_before", "rest").agg(F.sum("_size").alias("_s"), F.count("*").alias("_n"))
     w = Window.partitionBy("source").orderBy("_key", "_u").rowsBetween(Window.unboundedPreceding, -1)
-    middle = 2 * (F.col("_before") + F.coalesce(F.sum("_s").over(w), F.lit(0))) + F.col("_s")
-    cut = last.withColumn("_fits", middle <= 2 * F.col("rest"))
-    # Where nothing of the last sub-bucket fits, its first key, exclusive, is the cut-off.
-    cut = cut.groupBy("source").agg(F.max(F.when(F.col("_fits"), F.struct("_key", "_u"))).alias("_in"), F.min(F.struct("_key", "_u")).alias("_out"))
+    # Rows of one key repeat each other, so so many of them are taken as come nearest to the budget.
+    left = F.col("rest") - F.col("_before") - F.coalesce(F.sum("_s").over(w), F.lit(0))
+    fit = F.floor(left * F.col("_n") / F.col("_s") + 0.5)
+    cut = last.withColumn("_fit", F.greatest(F.lit(0), F.least(fit, F.col("_n"))))
+    at_key, whole = F.struct("_key", "_u"), F.col("_fit") == F.col("_n")
+    # Where nothing of the last sub-bucket fits whole, its first key, exclusive, is the cut-off.
+    cut = cut.groupBy("source").agg(
+        F.max(F.when(whole, at_key)).alias("_in"), F.min(at_key).alias("_out"), F.max(F.when(~whole & (F.col("_fit") > 0), F.struct("_key", "_u", "_fit"))).alias("_part")
+    )
     cut = cut.select(
         F.col("source").alias("_c_source"),
         F.lit(True).alias("_ends"),
         F.coalesce(F.col("_in"), F.struct(F.col("_out._key").alias("_key"), (F.col("_out._u") - 1).alias("_u"))).alias("_cut"),
+        "_part",
     )
     sources = sources.join(cut, F.col("source").eqNullSafe(F.col("_c_source")), "left").drop("_c_source")
     return sized, kept(sources, "mix-plan"), n
 
 
+def _with_copies(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows (joined with their source's plan) with _copies: whole epochs, and once more up to the cut-off.
+
+    Of rows that repeat each other at the cut-off only some are taken. They are counted by salts, so that
+    no task holds them all; which of them are taken makes no difference.
+    """
+    out = rows.withColumn("_copies", _copies())
+    if sources.where(F.col("_part").isNotNull()).isEmpty():
+        return out
+    here = F.coalesce(F.struct("_key", "_u") == F.struct("_part._key", "_part._u"), F.lit(False))
+    edge = kept(out.where(here).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "mix-edge")
+    before = Window.partitionBy("_e").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    base = edge.groupBy(F.col("_p_source").alias("_e"), F.col("_salt").alias("_s")).agg(F.count("*").alias("_k"))
+    base = base.select("_e", "_s", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_base"))
+    own = edge.join(base, F.col("_p_source").eqNullSafe(F.col("_e")) & (F.col("_salt") == F.col("_s")))
+    place = F.col("_base") + F.row_number().over(Window.partitionBy("_e", "_s").orderBy(F.lit(0)))
+    picked = own.withColumn("_place", place).withColumn("_copies", F.col("_copies") + (F.col("_place") <= F.col("_part._fit")).cast("long"))
+    return out.where(~here).unionByName(picked.select(*out.columns))
+
+
 def _copies() -> Column:
     """How often a row is taken: whole epochs, and once more up to its source's cut-off. Without a cut-off the rest is nothing, or all."""
     within = F.when(F.col("_ends"), F.struct("_key", "_u") <= F.col("_cut")).otherwise(F.col("rest") >= F.col("source_size"))
@@ -147,16 +174,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataF
     """doc_id, source, size, source_size, target, copies and taken (words) of every row of docs (doc_id, text, source)."""
     sized, sources, n = plan(docs, weights, max_repeat)
     sources = sources.withColumnRenamed("source", "_p_source")
-    out = sized.join(_small(sources, n), F.col("source").eqNullSafe(F.col("_p_source")))
-    out = out.withColumn("copies", _copies())
-    return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+    out = _with_copies(sized.join(_small(sources, n), F.col("source").eqNullSafe(F.col("_p_source"))), sources)
+    return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """The mix itself: rows of docs, each as often as it is taken. Texts are read twice and never shuffled."""
+    """The mix itself: rows of docs, each as often as it is taken. Texts are read twice and not shuffled, but for rows that repeat each other at a cut-off."""
     _, sources, n = plan(docs, weights, max_repeat)
     sources = sources.withColumnRenamed("source", "_p_source")
     own = docs.select(F.struct("*").alias("_doc"), F.col("source").cast("string").alias("_source"), *_keyed(docs))
-    own = own.join(_small(sources, n), F.col("_source").eqNullSafe(F.col("_p_source")))
-    own = own.withColumn("_copies", _copies()).where(F.col("_copies") > 0)
+    own = _with_copies(own.join(_small(sources, n), F.col("_source").eqNullSafe(F.col("_p_source"))), sources).where(F.col("_copies") > 0)
     return own.select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select("_doc.*")

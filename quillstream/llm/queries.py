@@ -32,7 +32,7 @@ WITH sized AS (
   SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), keyed AS (
   SELECT doc_id, source, size,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size::VARCHAR), 1, 13))::BIGINT AS u,
+    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS u,
     coalesce(CASE WHEN length(text) > 0 THEN greatest(0.05::DOUBLE, 1 - 4.0::DOUBLE *
       (length(text) - length(translate(text, '#$%&*@<>{}[]|=_~^\+', '')))::DOUBLE / length(text)::DOUBLE) END, 0.05::DOUBLE) AS q
   FROM sized
@@ -52,16 +52,18 @@ WITH sized AS (
 ), p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM g
 ), b AS (
-  SELECT source, k, u, sum(size) AS gs FROM d WHERE size > 0 GROUP BY source, k, u
+  SELECT source, k, u, sum(size) AS gs, count(*) AS n FROM d WHERE size > 0 GROUP BY source, k, u
 ), c AS (
-  SELECT source, k, u, gs, coalesce(sum(gs) OVER (PARTITION BY source ORDER BY k, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b
+  SELECT *, coalesce(sum(gs) OVER (PARTITION BY source ORDER BY k, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b
 ), f AS (
-  SELECT c.source, c.k, c.u, (2 * before + gs)::DOUBLE <= 2 * (target - epochs * source_size) AS fits
+  SELECT c.source, c.k, c.u, greatest(0, least(n, floor((target - epochs * source_size - before)::DOUBLE * n / gs + 0.5::DOUBLE))) AS fit
   FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY source, k, u) AS i FROM d
 )
-SELECT d.doc_id, d.size, p.source_size, p.target, (d.size * (p.epochs + coalesce(f.fits, false)::BIGINT))::BIGINT AS taken
-FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
-LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.k = f.k AND d.u = f.u
+SELECT r.doc_id, r.size, p.source_size, p.target, (r.size * (p.epochs + coalesce(r.i <= f.fit, false)::BIGINT))::BIGINT AS taken
+FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source
+LEFT JOIN f ON r.source IS NOT DISTINCT FROM f.source AND r.k = f.k AND r.u = f.u
 """
 
 
@@ -144,7 +146,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
-_NOTICES = ", ".join("('" + name.replace("'", "''") + "', '" + text.replace("'", "''") + "')" for name, text in sorted(licenses.TEMPLATES.items()))
+_NOTICES = ", ".join("('" + name.replace("'", "''") + "', '" + text.replace("'", "''") + "')" for name, text in sorted(licenses.NOTICES.items()))
 _SHINGLES = "list_transform(range(0, greatest(len(w) - 4, 0)::BIGINT), lambda i: array_to_string(w[i + 1:i + 5], ' '))"
 
 ORACLES["op2_licenses"] = rf"""
@@ -169,4 +171,7 @@ WITH texts(license, text) AS (VALUES {_NOTICES}
   GROUP BY win.doc_id, win.license, win.k, win.n
 )
 SELECT doc_id, license, max(containment) AS containment, min(first)::INTEGER AS first_shingle FROM c WHERE containment >= 0.8 GROUP BY doc_id, license
+UNION ALL
+SELECT dw.doc_id, tw.license, 1.0::DOUBLE, min(i)::INTEGER FROM dw, tw, unnest(range(0, greatest(len(dw.w) - len(tw.w) + 1, 0)::BIGINT)) g(i)
+WHERE len(tw.w) BETWEEN 1 AND 4 AND dw.w[i + 1:i + len(tw.w)] = tw.w GROUP BY dw.doc_id, tw.license
 """

@@ -14,7 +14,8 @@ each query gets at most k results, so a query gathers k rows a batch.
 Defined results: vectors that are null, empty, or hold a null, NaN or infinite component take no
 part, nor do rows whose vec_id is null; vectors meet only those of their own length; rows that
 repeat a vec_id: the least vector is the query, and none of them is a candidate for that id; an
-empty table gives no rows; a query with fewer than k candidates returns them all.
+empty table gives no rows; a query with fewer than k candidates returns them all; components or scores that
+do not fit in 64 bits raise an error; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,14 +45,26 @@ def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     fine = F.forall(x, lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     rows = rows.where((F.size("embedding") > 0) & fine)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda a: F.floor(a * F.lit(float(scale)))).alias("v"))
+    # A product beyond the whole numbers of 64 bits can't be scored: it raises, rather than being cut to the largest.
+    fits = lambda a: F.when(F.abs(a * F.lit(float(scale))) < float(2**63), F.floor(a * F.lit(float(scale)))).otherwise(F.raise_error(F.lit("a component does not fit in 64 bits")).cast("long"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, fits).alias("v"))
+
+
+def _size(x: np.ndarray) -> float:
+    return max(abs(float(x.max())), abs(float(x.min()))) if x.size else 0.0
 
 
 def _dot(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """x @ q.T in int64, by float64 where that is exact."""
-    if x.size and q.size and float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] < EXACT:
+    """x @ q.T in int64, by float64 where that is exact. A sum beyond 64 bits raises, it does not wrap."""
+    most = _size(x) * _size(q) * x.shape[1]
+    if most < EXACT:
         return (x.astype(np.float64) @ q.astype(np.float64).T).astype(np.int64)
-    return x @ q.T
+    if most < 2**61:  # room for the sum of all groups
+        return x @ q.T
+    exact = x.astype(object) @ q.astype(object).T
+    if max(map(abs, exact.ravel()), default=0) >= 2**61:
+        raise OverflowError("a score does not fit in 64 bits")
+    return exact.astype(np.int64)
 
 
 def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
