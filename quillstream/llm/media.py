@@ -13,23 +13,29 @@ fewer than FEW others, at which two more cuts could be half of them, the floor d
 
 Defined results: a null text is an empty payload; a payload is filled with spaces to a positive multiple
 of 192 bytes, so an empty text is one frame; equal texts have equal files and features; an empty
-table gives no rows; further columns are ignored.
+table gives no rows; further columns are ignored. AVI sizes have 32 bits and a column's value 2 GB, which bounds a
+text to some 1.2 GB; a longer one raises an error.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from hashlib import sha256
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._workers import lean
+
 WIDTH, HEIGHT, FPS = 16, 12, 25
 FRAME = WIDTH * HEIGHT
-#: Payload bytes that are encoded or decoded at a time (a longer row alone).
-CHUNK = 4 << 20
+#: Payload bytes of the rows that are worked on at a time (a longer row alone), and frames that are coded in step: the arrays of
+#: a step take some 50 bytes a sample, so a long row takes them for SLAB frames and not for itself.
+CHUNK, SLAB = 2 << 20, 4096
 #: Histogram bins; frames on each side of the adaptive window; least difference of a cut, in samples.
 BINS, REACH, FLOOR = 16, 8, FRAME // 4
 #: Other differences in a window from which they are asked.
@@ -130,9 +136,12 @@ def payload_of(text: str | None) -> bytes:
 def encode(payloads: list[bytes]) -> list[bytes]:
     """AVI files of payloads of whole frames."""
     counts = [len(p) // FRAME for p in payloads]
-    scans, ends = frame_scans(np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, FRAME))
-    ends = ends.tolist()
-    own = [scans[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    samples = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, FRAME)
+    own: list[bytes] = []
+    for i in range(0, len(samples), SLAB):
+        scans, places = frame_scans(samples[i : i + SLAB])
+        ends = places.tolist()
+        own += [scans[a:b] for a, b in zip([0, *ends], ends, strict=False)]
     out, i = [], 0
     for c in counts:
         out.append(avi_file(own[i : i + c]))
@@ -219,7 +228,12 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
         if f[-2:] != END:
             raise ValueError("frame without an end")
         scans.append(f[own:-2])
-    height, width, cat_of, length_of = _tables(first)
+    tables = _tables(first)
+    return np.concatenate([_decoded(scans[i : i + SLAB], *tables) for i in range(0, len(scans), SLAB)])
+
+
+def _decoded(scans: list[bytes], height: int, width: int, cat_of: np.ndarray, length_of: np.ndarray) -> np.ndarray:
+    """Samples of frames, by their entropy-coded bytes, all frames in step."""
     sizes = np.array(list(map(len, scans)))
     data = np.frombuffer(b"".join(scans), dtype=np.uint8)
     stuffed = np.zeros(len(data), dtype=bool)
@@ -229,7 +243,7 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     data = np.concatenate([data[~stuffed], np.zeros(4, dtype=np.uint8)]).astype(np.int64)
     words = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
     pos = starts.astype(np.int64) * 8
-    d = np.empty((height * width, len(frames)), dtype=np.int32)
+    d = np.empty((height * width, len(scans)), dtype=np.int32)
     for i in range(height * width):  # in step through all frames
         w = words[pos >> 3] << (pos & 7)
         top = (w >> 16) & 0xFFFF
@@ -238,10 +252,10 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
         extra = ((w >> (32 - n - cat)) & ((1 << cat) - 1)).astype(np.int32)
         d[i] = np.where(extra < (1 << cat) >> 1, extra - (1 << cat) + 1, extra)
         pos += n + cat
-    x = d.T.reshape(len(frames), height, width)
+    x = d.T.reshape(len(scans), height, width)
     x[:, 0, 0] += 128
     x[:, :, 0] = np.cumsum(x[:, :, 0], axis=1)
-    return (np.cumsum(x, axis=2) & 0xFF).astype(np.uint8).reshape(len(frames), height * width)
+    return (np.cumsum(x, axis=2) & 0xFF).astype(np.uint8).reshape(len(scans), height * width)
 
 
 def differences(samples: np.ndarray) -> np.ndarray:
@@ -297,39 +311,43 @@ def encode_media(docs: DataFrame) -> DataFrame:
             for part in _parts(payloads):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], pa.array(sizes[part], pa.int64()), pa.array(encode(payloads[part]), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
+CLIP_FIELDS = ("clip", "first_frame", "last_frame", "start_s", "end_s", "difference")
 CLIP = "struct<clip:int,first_frame:int,last_frame:int,start_s:double,end_s:double,difference:int>"
 
 
+def _read(media: list[bytes]) -> Iterator[tuple[bytes, int, list[tuple]]]:
+    """Payload, number of frames and clips (in the order of CLIP_FIELDS) of each AVI file."""
+    split = [frames_of(m) for m in media]
+    samples = decode_frames([f for s in split for f in s[0]])
+    at = 0
+    for frames, _, _, fps in split:
+        n = len(frames)
+        own = samples[at : at + n]
+        at += n
+        diff = differences(own)
+        starts = [0, *cuts(diff).tolist()]
+        clips = [(k, a, b - 1, a / fps, b / fps, int(diff[a - 1]) if a else 0) for k, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True))]
+        yield own.tobytes(), n, clips
+
+
 def read_media(rows: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media, payload (all samples read back), n_frames and clips of every AVI file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ["clip", "first_frame", "last_frame", "start_s", "end_s", "difference"]
-        kinds = [pa.int32()] * 3 + [pa.float64()] * 2 + [pa.int32()]
-        clip_type = pa.list_(pa.struct(list(zip(fields, kinds, strict=True))))
+        clip_type = pa.list_(pa.struct(list(zip(CLIP_FIELDS, [pa.int32()] * 3 + [pa.float64()] * 2 + [pa.int32()], strict=True))))
         for batch in batches:
             media = batch.column("media").to_pylist()
             for part in _parts(media):
-                split = [frames_of(m) for m in media[part]]
-                samples = decode_frames([f for s in split for f in s[0]])
-                payloads, counts, clips, i = [], [], [], 0
-                for frames, _, _, fps in split:
-                    own = samples[i : i + len(frames)]
-                    i += len(frames)
-                    payloads.append(own.tobytes())
-                    counts.append(len(frames))
-                    diff = differences(own)
-                    starts = [0, *cuts(diff).tolist()]
-                    clips.append([dict(zip(fields, (k, a, b - 1, a / fps, b / fps, int(diff[a - 1]) if a else 0), strict=True)) for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(frames)], strict=True))])
+                payloads, counts, clips = zip(*_read(media[part]), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c)[part] for c in ("doc_id", "n_bytes", "media")), pa.array(payloads, pa.binary()), pa.array(counts, pa.int32()), pa.array(clips, clip_type)],
+                    [*(batch.column(c)[part] for c in ("doc_id", "n_bytes", "media")), pa.array(payloads, pa.binary()), pa.array(counts, pa.int32()), pa.array([[dict(zip(CLIP_FIELDS, c, strict=True)) for c in own] for own in clips], clip_type)],
                     names=["doc_id", "n_bytes", "media", "payload", "n_frames", "clips"],
                 )
 
-    return rows.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary, payload binary, n_frames int, clips array<{CLIP}>")
+    return rows.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary, payload binary, n_frames int, clips array<{CLIP}>")
 
 
 def clip_rows(rows: DataFrame) -> DataFrame:
@@ -337,12 +355,29 @@ def clip_rows(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.inline("clips"))
 
 
+def _digest(n_bytes: int, media: bytes, payload: bytes, frames: int, clips: list[tuple]) -> tuple:
+    shots = ",".join(f"{c[1]}:{c[5]}" for c in clips)
+    told = f"{WIDTH}x{HEIGHT}@{FPS};frames={frames};shots={len(clips)};{shots}"
+    return n_bytes, len(payload), sha256(payload).hexdigest(), crc32(payload[-16:]), len(media), sha256(media).hexdigest(), told
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """The digests of op10 for every text, by way of its AVI file."""
-    rows = read_media(encode_media(docs))
-    shots = F.array_join(F.transform("clips", lambda c: F.concat_ws(":", c["first_frame"], c["difference"])), ",")
-    return rows.select(
-        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat(F.lit(f"{WIDTH}x{HEIGHT}@{FPS};frames="), F.col("n_frames").cast("string"), F.lit(";shots="), F.size("clips").cast("string"), F.lit(";"), shots).alias("feature"),
-    )
+    """The digests of op10 for every text: its AVI file is made, parsed and decoded again, and only digests leave the task."""
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            texts = batch.column("text")
+            for a in range(0, len(texts), 256):
+                own = texts[a : a + 256].to_pylist()
+                payloads = list(map(payload_of, own))
+                sizes = [len((t or "").encode()) for t in own]
+                for part in _parts(payloads):
+                    media = encode(payloads[part])
+                    out += [_digest(n, m, *read) for n, m, read in zip(sizes[part], media, _read(media), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds))], names=["doc_id", *names])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
