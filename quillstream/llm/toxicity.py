@@ -18,7 +18,7 @@ driver is bounded: the model's table of 28^3 counts, features seen in LEAST toxi
 numbers a sampled row.
 
 Defined results: a null text is an empty one; a text without any such word scores what the regression says
-of its length, an empty text too; without labels of both kinds every text scores FLOOR; of several labels for a doc_id the largest counts, and null labels none; a null
+of its length, an empty text as the shortest of the sample; without labels of both kinds every text scores FLOOR; of several labels for a doc_id the largest counts, and null labels none; a null
 doc_id is never learned from, and is not held out; rows that repeat score alike; an empty table
 gives no rows; further columns are ignored by score() and passed on by kept_documents().
 """
@@ -31,6 +31,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -306,8 +307,20 @@ def regress(evidence: np.ndarray, hits: np.ndarray, words: np.ndarray, toxic: np
     return w
 
 
-def calibrate(rows: DataFrame, weights: dict[str, float], counts: np.ndarray) -> np.ndarray | None:
-    """The regression's weights from the sampled rows; None if they hold one label only."""
+class Line(NamedTuple):
+    """The regression's weights, and the least and most words of a sampled text: others count as these, for nothing is known beyond."""
+
+    weights: np.ndarray
+    low: float
+    high: float
+
+    def scores(self, evidence: np.ndarray, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
+        x = _inputs(evidence, hits, np.clip(words, self.low, self.high))
+        return 1 / (1 + np.exp(-np.clip((x * self.weights).sum(axis=1), -30, 30)))
+
+
+def calibrate(rows: DataFrame, weights: dict[str, float], counts: np.ndarray) -> Line | None:
+    """The regression from the sampled rows; None if they hold one label only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(weights, None, counts)
@@ -319,13 +332,13 @@ def calibrate(rows: DataFrame, weights: dict[str, float], counts: np.ndarray) ->
     got = sorted(rows.mapInArrow(lean(run), "toxic int, e double, h double, n double").collect())  # in one order, so that sums agree
     toxic, e, h, n = (np.array([float(r[i]) for r in got]) for i in range(4))
     toxic = toxic > 0
-    return regress(e, h, n, toxic) if toxic.any() and not toxic.all() else None
+    return Line(regress(e, h, n, toxic), float(n.min()), float(n.max())) if toxic.any() and not toxic.all() else None
 
 
 class Scorer:
     """Scores of texts; remembers tokens that it has seen."""
 
-    def __init__(self, weights: dict[str, float], line: np.ndarray | None, counts: np.ndarray):
+    def __init__(self, weights: dict[str, float], line: Line | None, counts: np.ndarray):
         self.weights, self.line, self.decoder = weights, line, Decoder(counts)
         self.seen: set[str] = set()
         self.flagged: dict[str, float] = {}
@@ -361,10 +374,10 @@ class Scorer:
         if self.line is None:
             return [FLOOR] * len(texts)
         e, h, n = np.array([self.evidence(t) for t in texts]).reshape(-1, 3).T
-        return (1 / (1 + np.exp(-np.clip((_inputs(e, h, n) * self.line).sum(axis=1), -30, 30)))).tolist()
+        return self.line.scores(e, h, n).tolist()
 
 
-Model = tuple[dict[str, float], "np.ndarray | None", np.ndarray]
+Model = tuple[dict[str, float], "Line | None", np.ndarray]
 
 
 def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
