@@ -56,7 +56,8 @@ def majority(cast: DataFrame) -> DataFrame:
 
     One aggregation by lecture, script and code, so a long lecture is summed before it is shuffled; what meets for a lecture are its codes.
     """
-    sums = cast.where(F.col("script").isNotNull()).groupBy("lecture", "script", "code").agg(F.sum("n_letters").alias("n"), (-F.min("part_no")).alias("early"))
+    # Parts without a vote have no letters and go after the sum: a filter before it would have the text judged twice.
+    sums = cast.groupBy("lecture", "script", "code").agg(F.sum("n_letters").alias("n"), (-F.min("part_no")).alias("early")).where(F.col("n").isNotNull())
     rows = sums.groupBy("lecture").agg(F.collect_list(F.struct("n", "early", "code", "script")).alias("own"))
     weight = lambda s: F.aggregate(F.filter("own", lambda x: x["script"] == s), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     rows = rows.withColumns({"_a": weight("arabic"), "_l": weight("latin")}).where("_a + _l > 0")

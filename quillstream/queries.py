@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from quillstream.functions import urls
 from quillstream.functions import languages as lg
 from quillstream.functions import text as tx
+from quillstream.functions.columns import let
 from quillstream.operators import layout, markdown, votes
 from quillstream.plans import limits, progress, registry
 
@@ -63,8 +64,8 @@ SELECT doc_id, n::INTEGER AS letters, round(CASE WHEN n > 0 THEN a::DOUBLE / n E
   CASE WHEN n >= 20 THEN CASE WHEN a::DOUBLE / n >= 0.3 THEN 'ar' ELSE 'en' END END AS script_language, lang AS declared FROM l
 """)
 def language_profile(spark, d):
-    t = F.col("text")
-    return _docs(spark, d).select("doc_id", lg.letters(t).cast("int").alias("letters"), _r6(lg.arabic_share(t)).alias("arabic_share"), lg.script_language(t).alias("script_language"), F.col("lang").alias("declared"))
+    said = let(lg.counted(F.col("text")), lambda c: F.struct((c["arabic"] + c["latin"]).cast("int").alias("letters"), _r6(lg.share(c)).alias("arabic_share"), lg.verdict(c).alias("script_language")))
+    return _docs(spark, d).select("doc_id", said.alias("s"), F.col("lang").alias("declared")).select("doc_id", F.col("s.letters").alias("letters"), F.col("s.arabic_share").alias("arabic_share"), F.col("s.script_language").alias("script_language"), "declared")
 
 
 @_query(f"""
@@ -209,8 +210,9 @@ b AS (SELECT *, lag(key) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM k2
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE key <> '' AND key = before)::BIGINT AS n_dropped FROM b GROUP BY doc_id
 """)
 def adjacent_line_dedupe(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.size(markdown.keyed_lines(F.col("text"))).cast("long").alias("n_lines"), F.size(markdown.distinct_lines(F.col("text"))).alias("k"))
-    return rows.where("n_lines > 0").select("doc_id", "n_lines", (F.col("n_lines") - F.col("k")).alias("n_dropped"))
+    told = let(markdown.keyed_lines(F.col("text")), lambda own: F.struct(F.size(own).cast("long").alias("n"), F.size(markdown.without_adjacent(own)).cast("long").alias("k")))
+    rows = _docs(spark, d).select("doc_id", F.explode(F.filter(F.array(told), lambda x: x["n"] > 0)).alias("t"))
+    return rows.select("doc_id", F.col("t.n").alias("n_lines"), (F.col("t.n") - F.col("t.k")).alias("n_dropped"))
 
 
 _SIDES = _WS.rstrip("+")
@@ -344,7 +346,7 @@ def lecture_vote(spark, d):
 
 @_query()
 def parts_to_redo(spark, d):
-    cast = votes.votes(votes.probed(_parts(spark, d)), "probe")
+    cast = votes.votes(votes.probed(_parts(spark, d)), "probe").persist()  # a few numbers a part, read twice; rows lost are made again
     return votes.to_redo(cast, votes.majority(cast))
 
 
