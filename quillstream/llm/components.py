@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spread import with_totals
 from ._store import drop, kept
 
 
@@ -13,17 +14,18 @@ def _symmetric(edges: DataFrame) -> DataFrame:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links every node's larger neighbours (large) or itself and its smaller ones (small) to the least of them."""
+    """Links every node's larger neighbours (large) or itself and its smaller ones (small) to the least of them.
+
+    edges are distinct, so in a small star the least neighbour stands in one row, which links the node itself.
+    """
     both = _symmetric(edges)
-    if not large:
-        both = both.where(F.col("b") < F.col("a"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-    found = both.join(least, "a")
     if large:
-        out = found.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
+        found = with_totals(both, "a", "b", F.least(F.min("b"), F.col("a")).alias("least")).where(F.col("b") > F.col("a"))
+        node = F.col("b")
     else:
-        out = found.select(F.col("b").alias("a"), F.col("least").alias("b")).union(least.select("a", F.col("least").alias("b")))
-    return out.where(F.col("a") != F.col("b")).distinct()
+        found = with_totals(both.where(F.col("b") < F.col("a")), "a", "b", F.min("b").alias("least"))
+        node = F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b"))
+    return found.select(node.alias("a"), F.col("least").alias("b")).where(F.col("a") != F.col("b")).distinct()
 
 
 def _print(edges: DataFrame) -> tuple[int, int]:
@@ -36,8 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of edges (a, b); a component is named by its least node.
 
     Needs about the logarithm of the longest chain in rounds. Each round joins the links with one least
-    neighbour per node, so a node with very many links is split like any skewed join, and is
-    written to the shared folder.
+    neighbour per node, by node and place, so that the links of a node with very many of them are dealt over
+    tasks, and is written to the shared folder.
     """
     spark = edges.sparkSession
     now = kept(edges.where(F.col("a") != F.col("b")).distinct(), "links")

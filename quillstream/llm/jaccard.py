@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spread import PLACE, at_places, place, places, with_totals
 from ._store import drop, kept
 from ._workers import lean
 from .components import components
@@ -219,8 +220,8 @@ def paths(reps: DataFrame, small: int = SMALL, levels: int = LEVELS, runs: int =
     active = reps.select("set_id", F.explode(first).alias("bucket"), F.lit(None).cast("long").alias("before"))
     done = None
     for level in range(levels):
-        sizes = active.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > 1)
-        rows = kept(active.join(sizes, "bucket").select("bucket", "members", "set_id", "before"), "jaccard-paths")
+        sized = with_totals(active, "bucket", "set_id", F.count("*").alias("members")).where(F.col("members") > 1)
+        rows = kept(sized.select("bucket", "members", "set_id", "before"), "jaccard-paths")
         alike = F.coalesce(F.col("members") > (1 - SHRINKS) * F.col("before"), F.lit(False))
         goes_on = (F.col("members") > small) & ~alike & F.lit(level < levels - 1)
         ends = rows.where(~goes_on).select("bucket", "members", "set_id")
@@ -362,13 +363,13 @@ def _first() -> Column:
 def _classes(docs: DataFrame) -> DataFrame:
     """doc_id, h, class_id, links, _set and _rep (unknown, doc_id, h of the row that stands for the class; null without words) of every row of docs."""
     rows = kept(sketches(docs), "jaccard-docs")
-    reps = rows.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(_first().alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    reps = rows.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(_first().alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), places(place("doc_id", "h")).alias("places"))
     reps = kept(reps, "jaccard-sets")
     found = kept(groups(reps).select(F.col("node").alias("set_id"), "component"), "jaccard-groups")
     # The texts of sets in groups, each to every pair of blocks of its group. A set's text is found by id and hash, so rows that share an id don't meet.
-    told = found.join(reps.drop("sketch"), "set_id")
-    sizes = told.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / EXACT_SETS), F.ceil(F.sum("n") / EXACT_SHINGLES)).cast("int").alias("blocks"))
-    members = kept(told.join(sizes, "component").select("set_id", "component", "copies", "blocks", F.col("first.doc_id").alias("rep"), F.col("first.h").alias("rep_h")), "jaccard-members")
+    told = found.join(reps.drop("sketch", "places"), "set_id")
+    blocks = F.greatest(F.ceil(F.count("*") / EXACT_SETS), F.ceil(F.sum("n") / EXACT_SHINGLES)).cast("int")
+    members = kept(with_totals(told, "component", "set_id", blocks.alias("blocks")).select("set_id", "component", "copies", "blocks", F.col("first.doc_id").alias("rep"), F.col("first.h").alias("rep_h")), "jaccard-members")
     few = members.count() <= BROADCAST_DOCS
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     texts = texts.join(F.broadcast(members) if few else members, (F.col("h") == F.col("rep_h")) & F.col("doc_id").eqNullSafe(F.col("rep")))
@@ -381,12 +382,15 @@ def _classes(docs: DataFrame) -> DataFrame:
     joined = components(exact.where(F.col("other").isNotNull()).select(F.col("set_id").alias("a"), F.col("other").alias("b")))
     joined = joined.select(F.col("node").alias("set_id"), "component")
     linked = kept(links.join(joined, "set_id").join(reps.select("set_id", "first"), "set_id"), "jaccard-links")
-    least = linked.groupBy("component").agg(F.min("first").alias("_rep"))
-    linked = linked.join(least, "component").select("set_id", "links", "_rep")
-    sets = reps.select("set_id", "copies", "first").join(linked, "set_id", "left")
-    sets = sets.select("set_id", F.coalesce("_rep", "first").alias("_rep"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = rows.select("doc_id", "h", "set_id").join(kept(sets, "jaccard-classes"), "set_id", "left")
+    named = with_totals(linked, "component", "set_id", F.min("first").alias("_rep")).select("set_id", "links", "_rep")
+    sets = reps.select("set_id", "copies", "places", "first").join(named, "set_id", "left")
+    sets = sets.select("set_id", "places", F.coalesce("_rep", "first").alias("_rep"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    sets = kept(sets, "jaccard-classes")
     drop(exact, linked)
+    # Copies are dealt over places as well; rows without words, all of one key, don't join.
+    own = rows.select("doc_id", "h", "set_id", place("doc_id", "h").alias(PLACE))
+    alone = own.where(F.col("set_id").isNull()).select("doc_id", "h", "set_id", F.lit(None).cast(sets.schema["_rep"].dataType).alias("_rep"), F.lit(0).cast("long").alias("links"))
+    out = own.join(at_places(sets, "places"), ["set_id", PLACE]).select("doc_id", "h", "set_id", "_rep", "links").union(alone)
     class_id = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("_rep.doc_id"))
     return out.select("doc_id", "h", class_id.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.col("set_id").alias("_set"), "_rep")
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstream.llm import bpe, components, html_text, jaccard, licenses, line_dedup, media, mixing, topk, toxicity, warc
+from quillstream.llm._spread import with_totals
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, target string"
 
@@ -313,6 +314,23 @@ def test_components(spark):
     assert got == {(i, 0) for i in range(31)} | {(40, 40), (41, 40), (42, 40)}
 
 
+def test_components_of_a_node_with_many_links(spark):
+    n = 3000
+    edges = [(5000, i) for i in range(1, n)] + [(i, i + 10_000) for i in range(1, n, 3)] + [(20_000, 20_001)] * 3
+    got = {(r.node, r.component) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = {x for e in edges[:-3] for x in e}
+    assert got == {(x, 1) for x in nodes} | {(20_000, 20_000), (20_001, 20_000)}
+
+
+def test_totals_of_a_large_group(spark):
+    rows = spark.range(5000).selectExpr("IF(id < 4000, 0L, IF(id < 4900, id, null)) AS g", "id")
+    dealt = with_totals(rows, "g", "id", F.count("*").alias("n"), F.min("id").alias("least"))
+    got = dealt.groupBy("n", "least").count().where("n > 1").collect()
+    assert [tuple(r) for r in got] == [(4000, 0, 4000)]
+    assert dealt.count() == 4900 and dealt.columns == ["g", "id", "n", "least"]
+    assert with_totals(rows.where("false"), "g", "id", F.count("*").alias("n")).count() == 0
+
+
 # op10
 def test_media_round_trip():
     rng = np.random.default_rng(0)
